@@ -118,9 +118,11 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> Da
     others in proportion. A NULL ``max_repeats`` counts as 1.
     """
     goals = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("cap"))
-    rows = goals.orderBy("source").collect()  # the target table is a fixed dozen rows
-    domains, shares, caps = [r["source"] for r in rows], [float(r["share"] or 0.0) for r in rows], [int(r["cap"]) for r in rows]
     texts = checkpointed(distinct_texts(docs, vocabulary))
+    rows = goals.join(texts.select("source").distinct(), "source", "left_semi").orderBy("source").collect()  # at most the target table's dozen
+    if not rows:
+        return texts.where("false").select("doc_id", F.col("source").alias("domain"), "n_tokens", F.lit(0).alias("uses"))
+    domains, shares, caps = [r["source"] for r in rows], [float(r["share"] or 0.0) for r in rows], [int(r["cap"]) for r in rows]
     slot = reduce(lambda done, i: done.when(F.col("source") == domains[i], F.lit(i)), range(len(domains)), F.when(F.lit(False), F.lit(0)))
     known = texts.where("source is not null").withColumn("i", slot).where("i is not null")
     cap_of = F.array(*[F.lit(c) for c in caps])
