@@ -36,6 +36,7 @@ class Encoder:
             self.automaton.add_word(s, r)
         self.automaton.make_automaton()
         self.split = regex.compile(PATTERN).findall
+        self.run = regex.compile(r"(?:^|\s) (?:\s|$)").search
         self.shorter: dict[int, int | None] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, list[int]] = {}
@@ -99,17 +100,41 @@ class Encoder:
             token = shorter
         return out
 
-    def encode(self, text: str) -> list[int]:
+    def encode_word(self, word: str) -> list[int]:
+        """The ids of a stretch that begins a text or with the one blank before it; kept for the next time."""
         ids: list[int] = []
-        for word in self.split(text):
-            found = self.known.get(word)
+        for piece in self.split(word):
+            found = self.known.get(piece)
             if found is None:
-                found = self.encode_piece(word.encode("utf-8").decode("latin-1"))
-                if len(word) <= 64:
-                    if len(self.known) >= KEPT:
-                        self.known.clear()
-                    self.known[word] = found
+                found = self._keep(piece, self.encode_piece(piece.encode("utf-8").decode("latin-1")))
             ids += found
+        return self._keep(word, ids)
+
+    def _keep(self, s: str, ids: list[int]) -> list[int]:
+        if len(s) <= 64:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            self.known[s] = ids
+        return ids
+
+    def encode(self, text: str) -> list[int]:
+        """A text is cut before each blank with something other than white space before or after it: no piece of the
+        pattern reaches over one. What lies between is encoded once and kept."""
+        first, *rest = text.split(" ")
+        words = [first, *[" " + w for w in rest]]
+        if self.run(text):
+            joined = [first]
+            for w in words[1:]:
+                if (len(w) == 1 or w[1].isspace()) and (joined[-1] == "" or joined[-1][-1].isspace()):
+                    joined[-1] += w
+                else:
+                    joined.append(w)
+            words = joined
+        ids: list[int] = []
+        known, missed = self.known.get, self.encode_word
+        for w in words:
+            found = known(w)
+            ids += missed(w) if found is None else found
         return ids
 
 
