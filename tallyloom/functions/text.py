@@ -7,19 +7,20 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clean_markup(html: Column) -> Column:
     """Lines of visible text by patterns alone: scripts and styles dropped, tags to line breaks, blanks collapsed."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)>", "")
-    text = F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", "\n"), " ", " ")
+    text = F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", "\n"), "\u00a0", " ")
     for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(char))
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def parse_markup(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The same with an HTML parser: entities and malformed tags as a browser reads them."""
     from html.parser import HTMLParser

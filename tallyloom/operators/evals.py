@@ -30,7 +30,9 @@ def refusal_rate(queries: DataFrame, ranked: DataFrame) -> DataFrame:
 def cell_accuracy(gold: DataFrame, actual: DataFrame, keys: list[str], group: str, tolerance: float = 1.0) -> DataFrame:
     """Matching cells per group and over all (a NULL group): equal, both missing, or within the tolerance. Cells the
     actual lacks count as missing."""
-    joined = gold.withColumnRenamed("value", "g").join(actual.withColumnRenamed("value", "a"), keys, "left")
-    same = F.col("g").eqNullSafe(F.col("a")) | F.coalesce(F.abs(F.col("g") - F.col("a")) <= tolerance, F.lit(False))
+    told = actual.select(*keys, F.col("value").alias("actual_value"))
+    joined = gold.join(told, keys, "left")
+    g, a = F.col("value"), F.col("actual_value")
+    same = g.eqNullSafe(a) | F.coalesce(F.abs(g - a) <= tolerance, F.lit(False))
     n, hit = F.count(F.lit(1)), F.count_if(same)
     return joined.rollup(group).agg(hit.alias("n_match"), n.alias("n_cells"), F.round(F.coalesce(F.try_divide(hit, n), F.lit(0.0)), 6).alias("accuracy"))

@@ -32,13 +32,13 @@ def grounded(token: Column, haystacks: Column) -> Column:
     """Whether a number token stands in any of the texts as a whole number: no digit or mark before it, none or a scale
     letter after it."""
     pattern = F.concat(F.lit(r"(?<![\d.,])\Q"), token, F.lit(r"\E(?![.,]?\d)(?![%BMKTbmkt])"))
-    return F.exists(haystacks, lambda h: h.rlike(pattern))
+    return F.exists(haystacks, lambda h: F.rlike(h, pattern))
 
 
 def is_negative(text: Column, token: Column) -> Column:
     """Whether a token is written as a negative figure: a minus before it, or parentheses around a currency amount."""
     pattern = F.concat(F.lit(r"(?:[-−–]\s?\$?|\(\$)\Q"), F.ltrim(token, F.lit("$")), F.lit(r"\E"))
-    return text.rlike(pattern)
+    return F.rlike(text, pattern)
 
 
 def claimed_direction(clause: Column) -> Column:

@@ -59,7 +59,7 @@ def cache_key(url: Column | str) -> Column:
 
 def source_url(cik: Column, accession: Column, document: Column) -> Column:
     """The archive path of a filing's document; the number without leading zeros, the accession without dashes."""
-    return F.concat_ws("/", F.lit("https://www.sec.gov/Archives/edgar/data"), cik.cast("bigint").cast("string"), F.regexp_replace(accession, "-", ""), document)
+    return F.concat(F.lit("https://www.sec.gov/Archives/edgar/data/"), cik.cast("bigint").cast("string"), F.lit("/"), F.regexp_replace(accession, "-", ""), F.lit("/"), document)
 
 
 def trimmed(html: Column, start: str, end: str, margin: int) -> Column:

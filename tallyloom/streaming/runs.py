@@ -12,8 +12,11 @@ from tallyloom.session import shared_dir
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A folder or file of event rows as a stream; event time as an instant, as watermarks need."""
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    at_rest = spark.read.parquet(path)
+    reader = spark.readStream.schema(at_rest.schema).option("maxFilesPerTrigger", files_per_batch)
+    folder, name = path.rstrip("/").rsplit("/", 1)
+    alone = any(f.endswith(f"/{name}") for f in at_rest.inputFiles())  # one file, not a folder: read its folder, filtered
+    stream = reader.option("pathGlobFilter", name).parquet(folder) if alone else reader.parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
