@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
-from tallyloom.llm.places import TABULAR
+from tallyloom.llm.places import is_tabular
 
 # Words without which sentences of the corpus languages can hardly be written.
 FUNCTION_WORDS = frozenset(
@@ -72,7 +72,7 @@ def features(text: str | None) -> list[float]:
     ruling = max(3, 0.15 * n_words)  # a phrase that comes back every few words rules the page
     for part, rest, tags, ws in zip(loose, bare, hashed, words, strict=True):
         size, n = len(part), len(ws)
-        table = bool(TABULAR.search(part)) and "|" not in part
+        table = "|" not in part and is_tabular(part)
         linked = size - len(rest)
         few = len(FUNCTION_WORDS.intersection(ws)) <= 2
         numbers = sum(w[0].isdigit() or w[-1].isdigit() for w in ws)

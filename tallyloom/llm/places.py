@@ -89,6 +89,10 @@ def _first(text: str, low: int, high: int) -> int:
     return low
 
 
+def is_tabular(line: str) -> bool:
+    return ("   " in line or "|" in line or "...." in line or "\t" in line or ". . ." in line) and TABULAR.search(line) is not None
+
+
 def natural_places(text: str) -> list[tuple[int, int]]:
     """(offset, strength) of every natural place, in order; offsets count code points and the first is 0.
 
@@ -99,8 +103,9 @@ def natural_places(text: str) -> list[tuple[int, int]]:
     shown = [(_first(text, a, b), len(text[a:b].rstrip())) for a, b in lines]
     raw = [text[a:b] for a, b in lines]
     blank = [at >= b for (at, _), (_, b) in zip(shown, lines, strict=True)]
-    tabular = [bool(TABULAR.search(r)) for r in raw]
-    ended = [bool(ENDED.search(r)) and not SHORTENED.search(r) for r in raw]
+    tabular = [is_tabular(r) for r in raw]
+    tails = [r.rstrip()[-16:] for r in raw]  # longer than any abbreviation with its stop and what closes after it
+    ended = [bool(ENDED.search(r)) and not SHORTENED.search(r) for r in tails]
     words = [len(re.match(r"\S*", text[at:b])[0]) for (at, _), (_, b) in zip(shown, lines, strict=True)]
 
     def runs_on(i: int) -> bool:
@@ -126,7 +131,7 @@ def natural_places(text: str) -> list[tuple[int, int]]:
     whole = sorted(found)
     for low, high in pairwise([*whole, len(text)]):
         line = text[low : high if (nl := text.find("\n", low, high)) < 0 else nl]
-        if TABULAR.search(line):
+        if is_tabular(line):
             continue
         title = NUMBERED_TITLE.match(line) or MARK.match(line)
         _sentences(text, low + (title.end() if title else 0), high, found)
