@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNITS = (1e6, 1e5, 1e4, 1e3)
@@ -56,9 +56,10 @@ def checks(wide: DataFrame, keys: list[str], derived_liabilities: Column | None
 
 
 def with_prior(wide: DataFrame, keys: list[str], year: str, column: str, name: str) -> DataFrame:
-    """A column of the fiscal year before by number, not of the column shown before: NULL where that year is missing."""
-    before = wide.select(*keys, (F.col(year) + 1).alias(year), F.col(column).alias(name))
-    return wide.join(before, [*keys, year], "left")
+    """A column of the fiscal year before by number, not of the column shown before: NULL where that year is missing.
+    ``wide`` has one row per key and year; one window over a key's few years, no self-join."""
+    w = Window.partitionBy(*keys).orderBy(year)
+    return wide.withColumn(name, F.when(F.lag(year).over(w) == F.col(year) - 1, F.lag(column).over(w)))
 
 
 def report(found: DataFrame, keys: list[str]) -> DataFrame:

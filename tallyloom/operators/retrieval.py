@@ -27,18 +27,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(``query_id``, ``doc_id``, ``score``, ``rank``) of the best ``k`` documents with a positive score for each query.
 
     Okapi with k1 1.5 and b 0.75; a negative idf becomes a quarter of the mean idf; a query's repeated words count each
-    time. Statistics cover all documents; only then are the counts cut to the queries' words. Scores are rounded to
-    9 places before ranking, ties go to the lower id.
+    time. Statistics cover all documents and words, combined before the shuffle; the words of a document are cut to the
+    queries' before they are counted and shuffled. Scores are rounded to 9 places before ranking, ties go to the lower
+    id; repeated rows count as one longer document's words.
     """
-    tf = term_counts(docs)
-    lengths = docs.select("doc_id", F.size(words(F.coalesce("text", F.lit("")))).alias("dl"))
-    corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(corpus.select("n"))
+    cut = docs.select("doc_id", words(F.coalesce("text", F.lit(""))).alias("w"))
+    corpus = cut.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    df = cut.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(corpus.select("n"))
     idf = df.withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg((F.avg("idf") * EPSILON).alias("floor"))
     asked = queries.select("query_id", F.explode(words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     terms = idf.join(asked, "term").crossJoin(mean).select("query_id", "term", "times", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    hits = tf.join(terms, "term").join(lengths, "doc_id").crossJoin(corpus.select("avgdl"))
+    said = cut.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = said.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = tf.join(terms, "term").crossJoin(corpus.select("avgdl"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")
     return top(scores, k)
