@@ -64,3 +64,19 @@ def series_direction(series: DataFrame, keys: list[str], year: str, value: str)
     direction = F.when(change > FLAT, "up").when(change < -FLAT, "down").when(change.isNotNull(), "flat")
     steady = F.when(direction == "up", F.col("down") >= -REVERSAL).when(direction == "down", F.col("up") <= REVERSAL)
     return g.select(*keys, F.col("n").alias("n_points"), F.round(change, 6).alias("change"), direction.alias("direction"), steady.alias("steady"))
+
+
+def year_claims(sentences: DataFrame, figures: DataFrame) -> DataFrame:
+    """Figures quoted with the wrong fiscal year. ``sentences``: (``doc_id``, ``cik``, ``sentence``); ``figures``: (``cik``,
+    ``fiscal_year``, ``token``).
+
+    A sentence counts where it names one year only (``fiscal 2016``, ``FY2016``, ``Geschäftsjahr 2016``); each of its
+    number tokens that is a figure of the company in other years but not in that one is reported, with the years it is
+    true of. One equi-join on company and token.
+    """
+    years = F.array_distinct(F.regexp_extract_all(F.col("sentence"), F.lit(r"(?i)(?:fiscal(?: year)? |FY ?|Gesch[äa]ftsjahr |exercice |ejercicio )((?:19|20)\d{2})"), F.lit(1)))
+    tokens = F.array_distinct(F.regexp_extract_all(F.col("sentence"), F.lit(r"(\$?\d[\d,]*(?:\.\d+)?[%BMKTbmkt]?)"), F.lit(1)))
+    said = sentences.withColumn("y", years).where(F.size("y") == 1).select("doc_id", "cik", F.col("y")[0].cast("int").alias("claimed"), F.explode(tokens).alias("token"))
+    true = said.join(figures.select("cik", "token", "fiscal_year").distinct(), ["cik", "token"])
+    g = true.groupBy("doc_id", "claimed", "token").agg(F.max((F.col("fiscal_year") == F.col("claimed")).cast("int")).alias("ok"), F.array_sort(F.collect_set("fiscal_year")).alias("years"))
+    return g.where("ok = 0").select("doc_id", "claimed", "token", F.array_join(F.transform("years", lambda y: y.cast("string")), ",").alias("true_years"))

@@ -45,3 +45,19 @@ def evict(handles: DataFrame, finished: Column, finished_at: Column, order: list
     room = max(0, cap - running.count())
     newest = alive.where("done").orderBy(*[F.desc(c) for c in order]).limit(room)
     return running.unionByName(newest).drop("done")
+
+
+def run_table(events: DataFrame, key: str, at: str, status: Column, terminal: Column, timeout_seconds: int, tie: str) -> DataFrame:
+    """One row per run from its events, as idempotent creation followed by keyed updates leaves it: when it was created, its
+    first terminal status and when, or ``timeout`` where none came in time. One aggregation."""
+    order = F.struct(at, tie)
+    g = events.groupBy(key).agg(F.min(at).alias("created_at"), F.min(F.when(terminal, F.struct(F.col(at).alias("t"), F.col(tie).alias("i"), status.alias("s")))).alias("end"), F.max_by(status, order).alias("last_status"))
+    late = F.col("end").isNull() | (F.col("end.t") > F.col("created_at") + F.expr(f"INTERVAL {timeout_seconds} SECONDS"))
+    return g.select(key, "created_at", F.when(late, F.lit("timeout")).otherwise(F.col("end.s")).alias("status"), F.when(~late, F.col("end.t")).alias("completed_at"), "last_status")
+
+
+def outcome(reported: Column, open_circuit: Column, has_figures: Column, has_chunks: Column, text: Column) -> Column:
+    """Why an item has no commentary; the first reason that holds, NULL where it has one."""
+    return (
+        F.when(~reported, "does not report this item").when(open_circuit, "stopped after repeated failures").when(~has_figures, "no value in any year").when(~has_chunks, "no passages retrieved").when(text.isNull(), "failed twice")
+    )

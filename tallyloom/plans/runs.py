@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyloom.operators import runlog
@@ -97,6 +97,35 @@ def q56_files(spark: SparkSession, d: str) -> DataFrame:
     return files.select("file_id", "status")
 
 
+def q62_run_table(spark: SparkSession, d: str) -> DataFrame:
+    """A user's day as a run: purchases and errors end it, and two hours are the limit."""
+    e = _events(spark, d).withColumn("run_id", F.concat_ws("-", F.col("user_id").cast("string"), F.date_format("ts", "yyyyMMdd")))
+    runs = runlog.run_table(e, "run_id", "ts", F.col("event_type"), F.col("event_type").isin("purchase", "error"), 7200, "event_id")
+    return runs.select("run_id", "status", "last_status")
+
+
+def q63_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Per company, why it would get no commentary."""
+    docs = table(spark, d, "documents").groupBy("cik").agg(F.count(F.lit(1)).alias("n_docs"), F.max(F.when(F.length("text") > 0, "text")).isNotNull().alias("has_text"))
+    values = table(spark, d, "resolved_value").groupBy("cik").agg(F.count("value").alias("n_values"))
+    c = table(spark, d, "company").select(F.col("cik_str").alias("cik"), F.col("ticker").isNotNull().alias("listed")).join(docs, "cik", "left").join(values, "cik", "left")
+    why = runlog.outcome(F.col("n_values").isNotNull(), ~F.col("listed"), F.coalesce("n_values", F.lit(0)) > 0, F.coalesce("n_docs", F.lit(0)) > 0, F.when(F.col("has_text"), F.lit("text")))
+    return c.select("cik", why.alias("reason"))
+
+
+def q64_annual_filings(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's first three annual filings, newest first, as rows from the parallel arrays."""
+    z = zipped(_histories(spark, d), "o_custkey", ["form", "accession", "filed"]).where("form = '10-K'")
+    w = Window.partitionBy("o_custkey").orderBy("place")
+    return z.withColumn("n", F.row_number().over(w).cast("bigint")).where("n <= 3").select("o_custkey", "n", "accession", "filed")
+
+
+def q65_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that occur under several ids, by their fingerprint: the lowest id and the number of ids."""
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", cache_key("text").alias("digest"))
+    return t.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_ids")).where("n_ids > 1")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and callable(f) and name[1:3].isdigit()}
 
 SQL = {
@@ -116,4 +145,12 @@ SELECT event_id FROM a WHERE NOT done UNION ALL SELECT event_id FROM (SELECT eve
     "q52_resolve_ticker": "SELECT upper(trim(ticker)) AS ticker, lpad(cik_str::VARCHAR, 10, '0') AS cik FROM company WHERE regexp_matches(upper(trim(ticker)), '^[A-Z][A-Z0-9.\\-]{0,9}$') QUALIFY row_number() OVER (PARTITION BY upper(trim(ticker)) ORDER BY added_at, cik_str) = 1",
     "q52_source_url": """WITH u AS (SELECT doc_id, 'https://www.sec.gov/Archives/edgar/data/' || cik::VARCHAR || '/' || lpad(cik::VARCHAR, 10, '0') || '00' || doc_id::VARCHAR || '/doc' || doc_id::VARCHAR || '.htm' AS url FROM documents) SELECT doc_id, url, sha256(url) AS cache_key FROM u""",
     "q53_json_props": "SELECT event_type, count(json_extract(props, '$.k'))::BIGINT AS n, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total, max(json_extract(props, '$.k')::BIGINT) AS most FROM events GROUP BY 1",
+    "q62_run_table": """WITH e AS (SELECT user_id::VARCHAR || '-' || strftime(ts, '%Y%m%d') AS run_id, ts, event_id, event_type FROM events),
+g AS (SELECT run_id, min(ts) AS c, last(event_type ORDER BY ts, event_id) AS last_status, min(row(ts, event_id, event_type)) FILTER (event_type IN ('purchase', 'error')) AS x FROM e GROUP BY run_id)
+SELECT run_id, CASE WHEN x IS NULL OR x[1] > c + INTERVAL 7200 SECONDS THEN 'timeout' ELSE x[3] END AS status, last_status FROM g""",
+    "q63_outcomes": """WITH d AS (SELECT cik, count(*) AS n_docs, bool_or(length(text) > 0) AS t FROM documents GROUP BY cik), v AS (SELECT cik, count(value) AS n FROM resolved_value GROUP BY cik)
+SELECT cik_str AS cik, CASE WHEN n IS NULL THEN 'does not report this item' WHEN ticker IS NULL THEN 'stopped after repeated failures' WHEN n = 0 THEN 'no value in any year' WHEN n_docs IS NULL THEN 'no passages retrieved' WHEN NOT coalesce(t, false) THEN 'failed twice' END AS reason
+FROM company LEFT JOIN d ON d.cik = cik_str LEFT JOIN v ON v.cik = cik_str""",
+    "q64_annual_filings": "SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n, o_orderkey AS accession, strftime(o_orderdate, '%Y-%m-%d') AS filed FROM orders WHERE o_orderstatus = 'F' QUALIFY n <= 3",
+    "q65_fingerprints": "SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*)::BIGINT AS n_ids FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
 }

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.figures import format_figure, parse_figure
 from tallyloom.functions.spelling import item_name, real_date
+from tallyloom.functions.text import sentences
 from tallyloom.operators import facts as fx
 from tallyloom.operators import identities as ids
 from tallyloom.operators import statements as st
 from tallyloom.operators.cells import address, commentary_rows, escape_cell, statement_sheet
 from tallyloom.operators.evals import cell_accuracy
-from tallyloom.operators.grounding import series_direction
+from tallyloom.operators.grounding import series_direction, year_claims
 from tallyloom.operators.ratios import formula, ratio_grid
 from tallyloom.plans.sqlparts import ALL, FACTS, GRID, WIDE, YEARS, date, item, tolerance
 from tallyloom.session import checkpointed, table
@@ -192,7 +193,39 @@ def q42_cell_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return cell_accuracy(gold, actual, ["cik", "item_key", "end"], "item_key")
 
 
-QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and callable(f)}
+def q57_tieout_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """The checks as a sheet shows them: difference and verdict."""
+    c = q10_identity_checks(spark, d)
+    return c.select(*KEYS, F.concat_ws("_", "check", F.col("fiscal_year").cast("string")).alias("check_id"), (F.col("lhs") - F.col("rhs")).alias("diff"), F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("verdict"))
+
+
+def q58_fact_trim(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of the dictionary's tags in annual filings whose period ends in 2016 or later; tags left without facts are gone."""
+    f = fx.normalised(table(spark, d, "fact_entry")).where(fx.annual_forms() & (F.col("end") >= F.lit("2016-01-01").cast("date")))
+    return f.join(F.broadcast(fx.chains(table(spark, d, "tag_spec")).select("tag").distinct()), "tag", "left_semi").groupBy("cik", "tag").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("last_end"))
+
+
+def q59_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Filled cells of each item's grid."""
+    return _grid(spark, d).groupBy("item_key").agg(F.count("value").alias("n_filled"), F.count(F.lit(1)).alias("n_cells"), F.count_if("restated").alias("n_restated"))
+
+
+def q60_nested_gold(spark: SparkSession, d: str) -> DataFrame:
+    """Each company's grid as one nested document, and what reading it back gives: its cells and their sum."""
+    cells = _grid(spark, d).where("value is not null").groupBy("cik", "item_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("fiscal_year").cast("string"), "value")))).alias("years"))
+    docs = cells.groupBy("cik").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("item_key", F.map_entries("years").alias("e")))))).alias("j"))
+    back = docs.select("cik", F.from_json("j", "MAP<STRING, ARRAY<STRUCT<key: STRING, value: DOUBLE>>>").alias("m")).select("cik", F.explode("m").alias("item_key", "e")).select("cik", "item_key", F.explode("e").alias("c"))
+    return back.groupBy("cik", "item_key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("c.value").cast("decimal(38,4)")).cast("double").alias("total"))
+
+
+def q61_year_claims(spark: SparkSession, d: str) -> DataFrame:
+    figures = _figures(spark, d).select("cik", "fiscal_year", F.col("figure").alias("token"))
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "cik", F.explode(sentences(F.col("text"))).alias("sentence"))
+    years = _figures(spark, d).select("cik", "fiscal_year", F.explode(F.array(F.concat(F.lit("$"), F.format_number(F.round(F.abs("value") / 1e6, 1), 1)), F.regexp_extract("figure", r"^-?(.*?)(?: shares)?$", 1))).alias("token"))
+    return year_claims(docs, figures.unionByName(years))
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and name[1:3].isdigit() and callable(f)}
 
 
 def _check_sql(name: str, lhs: str, rhs: str, terms: list[str], needed: list[str], frm: str = "w") -> str:
@@ -293,4 +326,8 @@ SELECT cik, item_key, n_points, round(ch, 6) AS change, CASE WHEN ch > 0.02 THEN
 l AS (SELECT cik, item_key, "end", last(value ORDER BY f, loaded_at, snapshot_id) AS v FROM a WHERE f IS NOT NULL GROUP BY ALL),
 j AS (SELECT res.item_key, value IS NOT DISTINCT FROM v OR coalesce(abs(value - v) <= 1, false) AS same FROM res LEFT JOIN l USING (cik, item_key, "end"))
 SELECT item_key, count(*) FILTER (same)::BIGINT AS n_match, count(*)::BIGINT AS n_cells, round(count(*) FILTER (same) / count(*), 6)::DOUBLE AS accuracy FROM j GROUP BY ROLLUP (item_key)""",
+    "q57_tieout_sheet": f"{_ALL_CHECKS} SELECT cik, fiscal_year, \"check\" || '_' || fiscal_year::VARCHAR AS check_id, lhs - rhs AS diff, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS verdict FROM checks",
+    "q58_fact_trim": f"WITH {FACTS} SELECT cik, tag, count(*)::BIGINT AS n, max(e) AS last_end FROM facts WHERE form IN ('10-K', '10-K/A') AND e >= DATE '2016-01-01' AND tag IN (SELECT tag FROM chain) GROUP BY ALL",
+    "q59_coverage": f"WITH {FACTS}, {YEARS}, {GRID} SELECT item_key, count(value)::BIGINT AS n_filled, count(*)::BIGINT AS n_cells, count(*) FILTER (restated)::BIGINT AS n_restated FROM grid GROUP BY item_key",
+    "q60_nested_gold": f"WITH {FACTS}, {YEARS}, {GRID} SELECT cik, item_key, count(*)::BIGINT AS n, sum(value::DECIMAL(38, 4))::DOUBLE AS total FROM grid WHERE value IS NOT NULL GROUP BY ALL",
 }

@@ -201,3 +201,38 @@ def test_cells_and_metrics(spark, tmp_path):
     assert [tuple(r) for r in company_list(spark, str(tmp_path / "c.json")).collect()] == [(0, 5, "A", "T"), (1, 6, "B", None)]
     t = spark.createDataFrame([("aaaa item 1a bbbb item 8 cccc item 8 dddd",), ("nothing",)], "h STRING")
     assert [r[0] for r in t.select(trimmed(F.col("h"), "item 1a", "item 8", 2)).collect()] == ["a item 1a bbbb item 8 cccc item 8 d", "nothing"]
+
+
+def test_year_claims(spark):
+    from tallyloom.operators.grounding import year_claims
+
+    said = spark.createDataFrame([(1, 5, "Revenue was $5.00M in fiscal 2016."), (2, 5, "In fiscal 2017 it was $5.00M."), (3, 5, "$5.00M in fiscal 2016 and fiscal 2017"), (4, None, "fiscal 2016: $5.00M"), (5, 5, None)], "doc_id INT, cik INT, sentence STRING")
+    figures = spark.createDataFrame([(5, 2016, "$5.00M"), (5, 2015, "$5.00M"), (5, 2017, "$9.00M")], "cik INT, fiscal_year INT, token STRING")
+    assert [tuple(r) for r in year_claims(said, figures).collect()] == [(2, 2017, "$5.00M", "2015,2016")]
+
+
+def test_run_table_and_eviction(spark):
+    import datetime as dt
+
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    rows = [("a", t(0), 1, "start"), ("a", t(10), 2, "done"), ("a", t(20), 3, "error"), ("b", t(0), 4, "start"), ("c", t(0), 5, "start"), ("c", t(500), 6, "done")]
+    e = spark.createDataFrame(rows, "run STRING, at TIMESTAMP_NTZ, i INT, s STRING")
+    got = runlog.run_table(e, "run", "at", F.col("s"), F.col("s").isin("done", "error"), 300, "i")
+    assert {r["run"]: (r["status"], r["last_status"]) for r in got.collect()} == {"a": ("done", "error"), "b": ("timeout", "start"), "c": ("timeout", "done")}
+    handles = spark.createDataFrame([(i, t(i), i % 2 == 0) for i in range(10)], "id INT, at TIMESTAMP_NTZ, over BOOLEAN")
+    kept = runlog.evict(handles, F.col("over"), F.col("at"), ["at", "id"], F.lit(t(9)).cast("timestamp_ntz"), 7, 6)
+    assert sorted(r["id"] for r in kept.collect()) == [1, 3, 5, 7, 8, 9]
+    assert runlog.evict(handles.where("false"), F.col("over"), F.col("at"), ["at"], F.lit(t(9)).cast("timestamp_ntz"), 7, 6).count() == 0
+
+
+def test_streams_equal_tables(spark, tmp_path):
+    from tallyloom.streaming.runs import event_stream, first_seen, replay, terminal_states, windowed_counts
+
+    rows = [(i, 1.7e9 + 60.0 * i, i % 3, "ab"[i % 2]) for i in range(50)] + [(0, 1.7e9, 0, "a")]
+    e = spark.createDataFrame(rows, "event_id INT, s DOUBLE, user_id INT, event_type STRING").selectExpr("event_id", "timestamp_seconds(s) AS ts", "user_id", "event_type")
+    e.repartition(3).write.parquet(str(tmp_path / "ev"))
+    path = str(tmp_path / "ev")
+    assert sorted(map(tuple, replay(terminal_states(event_stream(spark, path))).collect())) == sorted(map(tuple, terminal_states(e).collect()))
+    counts = replay(windowed_counts(event_stream(spark, path), "1 day", "10 minutes")).collect()
+    assert sum(r["n"] for r in counts) == 51
+    assert replay(first_seen(event_stream(spark, path), "1 day").select("event_id"), "append").count() == 50
