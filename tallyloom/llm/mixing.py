@@ -31,9 +31,10 @@ def distinct_texts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return counted.groupBy("digest").agg(F.min(best).alias("b"), F.count(F.lit(1)).alias("n_copies")).select("b.doc_id", "b.source", "b.n_tokens", "n_copies")
 
 
-def domain_posteriors(docs: DataFrame, unknown: DataFrame, domains: list[str]) -> DataFrame:
+def domain_posteriors(docs: DataFrame, domains: list[str]) -> DataFrame:
     """(``doc_id``, ``domain``, ``p``) for documents without a source: the posterior of each domain they may belong to,
-    rounded to steps of ``STEP``. The classifier is a multinomial naive Bayes on hashed words, fitted on labelled rows."""
+    rounded to steps of ``STEP``. The classifier is a multinomial naive Bayes on hashed words, fitted on labelled rows.
+    Texts are scored where they are read; only posteriors are shuffled."""
     index = reduce(lambda done, i: done.when(F.col("source") == domains[i], F.lit(float(i))), range(len(domains)), F.when(F.lit(False), F.lit(0.0)))
     words = F.split(F.lower("text"), r"[^\p{L}]+")
     tf = HashingTF(inputCol="words", outputCol="features", numFeatures=WORDS, binary=True)
@@ -41,7 +42,7 @@ def domain_posteriors(docs: DataFrame, unknown: DataFrame, domains: list[str]) -
     n = labelled.count()
     sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, TRAINING_PAGES / max(1, n)))))
     model = NaiveBayes(labelCol="label", featuresCol="features").fit(tf.transform(sample.select("label", words.alias("words"))))
-    asked = docs.join(unknown.select("doc_id"), "doc_id", "left_semi").where(F.length("text") > 0)
+    asked = docs.where(F.col("source").isNull() & (F.length("text") > 0))
     scored = model.transform(tf.transform(asked.select("doc_id", words.alias("words"))))
     share = scored.select("doc_id", F.posexplode(vector_to_array("probability")).alias("i", "p")).groupBy("doc_id", "i").agg(F.max("p").alias("p"))
     rounded = share.withColumn("p", F.round(F.col("p") / STEP) * STEP).where("p > 0")
@@ -131,7 +132,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> Da
     unknown = texts.where("source is null")
     everyone = sure
     if not unknown.isEmpty() and len(domains) > 1 and not known.isEmpty():
-        post = domain_posteriors(docs, unknown, domains)
+        post = domain_posteriors(docs, domains)
         at = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(i))])
         listed = post.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(at[F.col("domain")].alias("i"), "p"))).alias("m"), F.max_by(at[F.col("domain")], F.struct("p", "domain")).alias("best"))
         soft = unknown.join(listed, "doc_id").select(
