@@ -26,12 +26,31 @@ def first_insert(runs: DataFrame, keys: list[str], order: list[str], columns: li
     return runs.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
-def streaks(events: DataFrame, key: str, order: list[str], failed: Column, ignored: Column | None = None) -> DataFrame:
-    """Every unbroken run of failures: key, number of the run, length. Ignored rows neither add nor break."""
-    e = events.where(~ignored) if ignored is not None else events
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    island = e.withColumn("f", failed).withColumn("g", F.sum((~F.col("f")).cast("bigint")).over(w))
-    return island.where("f").groupBy(key, F.col("g").alias("island")).agg(F.count(F.lit(1)).alias("length"))
+def streaks(events: DataFrame, key: str, order: list[str], failed: Column, ignored: Column | None = None, bucket: Column | None = None) -> DataFrame:
+    """(key, ``length``) of every unbroken run of failures. Ignored rows neither add nor break; a NULL verdict is no failure; a
+    NULL key is a key of its own.
+
+    Rows are walked per key and ``bucket`` (an hour of the first order column if none is given; it must rise with the
+    order), so a key that holds much of the table is spread over as many tasks as it has buckets. Each bucket is then
+    summed up in what it begins with, ends with and has in between, and only those few numbers are joined over a
+    key's buckets, whose number the calendar bounds.
+    """
+    e = events.where(~F.coalesce(ignored, F.lit(False))) if ignored is not None else events
+    b = bucket if bucket is not None else F.date_trunc("hour", F.col(order[0]))
+    rows = e.select(F.col(key), b.alias("b"), F.coalesce(failed, F.lit(False)).alias("f"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    within = Window.partitionBy(key, "b").orderBy(*[f"o{i}" for i in range(len(order))])
+    marked = rows.withColumn("g", F.sum((~F.col("f")).cast("bigint")).over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    # Island g holds the failures after the g-th success of the bucket; island 0 touches its start, the last one its end.
+    islands = marked.groupBy(key, "b", "g").agg(F.count_if("f").alias("n"))
+    placed = islands.withColumn("last", F.max("g").over(Window.partitionBy(key, "b")))
+    inner = placed.where((F.col("g") > 0) & (F.col("g") < F.col("last")) & (F.col("n") > 0)).select(key, F.col("n").alias("length"))
+    edges = placed.groupBy(key, "b", "last").agg(F.max(F.when(F.col("g") == 0, F.col("n"))).alias("head"), F.max(F.when(F.col("g") == F.col("last"), F.col("n"))).alias("tail"))
+    over = Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    broken = (F.col("last") > 0).cast("bigint")
+    run = edges.withColumn("open", F.sum(broken).over(over)).withColumn("close", F.col("open") - broken)
+    parts = run.select(key, F.explode(F.array(F.struct(F.col("close").alias("r"), F.coalesce("head", F.lit(0)).alias("n")), F.struct(F.col("open").alias("r"), F.when(F.col("last") > 0, F.col("tail")).otherwise(0).alias("n")))).alias("p"))
+    joined = parts.groupBy(key, F.col("p.r").alias("r")).agg(F.sum("p.n").alias("length")).where("length > 0").select(key, "length")
+    return inner.unionByName(joined)
 
 
 def evict(handles: DataFrame, finished: Column, finished_at: Column, order: list[str], now: Column, ttl_seconds: int, cap: int) -> DataFrame:

@@ -196,7 +196,7 @@ def test_cells_and_metrics(spark, tmp_path):
     actual = spark.createDataFrame([(1, 1.9), (2, None)], "k INT, value DOUBLE")
     assert evals.cell_accuracy(cells, actual, ["k"], "g").where("g is null").first()["n_match"] == 2
     e = spark.createDataFrame([(1, t, x) for t, x in enumerate("EEvEoEE")], "u INT, t INT, x STRING")
-    assert sorted(r["length"] for r in runlog.streaks(e, "u", ["t"], F.col("x") == "E", F.col("x") == "v").collect()) == [2, 3]
+    assert sorted(r["length"] for r in runlog.streaks(e, "u", ["t"], F.col("x") == "E", F.col("x") == "v", F.floor(F.col("t") / 2)).collect()) == [2, 3]
     (tmp_path / "c.json").write_text('{"0": {"cik_str": 5, "ticker": "A", "title": "T"}, "1": {"cik_str": 6, "ticker": "B", "title": null}}')
     assert [tuple(r) for r in company_list(spark, str(tmp_path / "c.json")).collect()] == [(0, 5, "A", "T"), (1, 6, "B", None)]
     t = spark.createDataFrame([("aaaa item 1a bbbb item 8 cccc item 8 dddd",), ("nothing",)], "h STRING")
@@ -236,3 +236,27 @@ def test_streams_equal_tables(spark, tmp_path):
     counts = replay(windowed_counts(event_stream(spark, path), "1 day", "10 minutes")).collect()
     assert sum(r["n"] for r in counts) == 51
     assert replay(first_seen(event_stream(spark, path), "1 day").select("event_id"), "append").count() == 50
+
+
+def test_streaks_over_buckets_match_a_plain_walk(spark):
+    import random
+
+    rnd = random.Random(11)
+    rows = [(rnd.choice([1, 1, 1, 2, None]), i, rnd.choice("EEEov")) for i in range(600)]
+    df = spark.createDataFrame(rows, "u INT, t INT, x STRING").withColumn("b", F.lit("clash")).withColumn("n", F.lit(0))
+    want = {}
+    for u in (1, 2, None):
+        run = 0
+        for _, _, x in [*[r for r in rows if r[0] == u], (u, 0, "o")]:
+            if x == "E":
+                run += 1
+            elif x != "v":
+                if run:
+                    want.setdefault(u, []).append(run)
+                run = 0
+    for width in (1, 7, 50, 1000):
+        got = {}
+        for r in runlog.streaks(df, "u", ["t"], F.col("x") == "E", F.col("x") == "v", F.floor(F.col("t") / width)).collect():
+            got.setdefault(r["u"], []).append(r["length"])
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert runlog.streaks(df.where("false"), "u", ["t"], F.col("x") == "E", bucket=F.col("t")).count() == 0
