@@ -193,7 +193,7 @@ def q42_cell_accuracy(spark: SparkSession, d: str) -> DataFrame:
     return cell_accuracy(gold, actual, ["cik", "item_key", "end"], "item_key")
 
 
-def q57_tieout_sheet(spark: SparkSession, d: str) -> DataFrame:
+def q57_check_sheet(spark: SparkSession, d: str) -> DataFrame:
     """The checks as a sheet shows them: difference and verdict."""
     c = q10_identity_checks(spark, d)
     return c.select(*KEYS, F.concat_ws("_", "check", F.col("fiscal_year").cast("string")).alias("check_id"), (F.col("lhs") - F.col("rhs")).alias("diff"), F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("verdict"))
@@ -326,7 +326,7 @@ SELECT cik, item_key, n_points, round(ch, 6) AS change, CASE WHEN ch > 0.02 THEN
 l AS (SELECT cik, item_key, "end", last(value ORDER BY f, loaded_at, snapshot_id) AS v FROM a WHERE f IS NOT NULL GROUP BY ALL),
 j AS (SELECT res.item_key, value IS NOT DISTINCT FROM v OR coalesce(abs(value - v) <= 1, false) AS same FROM res LEFT JOIN l USING (cik, item_key, "end"))
 SELECT item_key, count(*) FILTER (same)::BIGINT AS n_match, count(*)::BIGINT AS n_cells, round(count(*) FILTER (same) / count(*), 6)::DOUBLE AS accuracy FROM j GROUP BY ROLLUP (item_key)""",
-    "q57_tieout_sheet": f"{_ALL_CHECKS} SELECT cik, fiscal_year, \"check\" || '_' || fiscal_year::VARCHAR AS check_id, lhs - rhs AS diff, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS verdict FROM checks",
+    "q57_check_sheet": f"{_ALL_CHECKS} SELECT cik, fiscal_year, \"check\" || '_' || fiscal_year::VARCHAR AS check_id, lhs - rhs AS diff, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS verdict FROM checks",
     "q58_fact_trim": f"WITH {FACTS} SELECT cik, tag, count(*)::BIGINT AS n, max(e) AS last_end FROM facts WHERE form IN ('10-K', '10-K/A') AND e >= DATE '2016-01-01' AND tag IN (SELECT tag FROM chain) GROUP BY ALL",
     "q59_coverage": f"WITH {FACTS}, {YEARS}, {GRID} SELECT item_key, count(value)::BIGINT AS n_filled, count(*)::BIGINT AS n_cells, count(*) FILTER (restated)::BIGINT AS n_restated FROM grid GROUP BY item_key",
     "q60_nested_gold": f"WITH {FACTS}, {YEARS}, {GRID} SELECT cik, item_key, count(*)::BIGINT AS n, sum(value::DECIMAL(38, 4))::DOUBLE AS total FROM grid WHERE value IS NOT NULL GROUP BY ALL",
