@@ -66,6 +66,18 @@ def _median(values: list[float]) -> float:
     return s[len(s) // 2] if len(s) % 2 else (s[len(s) // 2 - 1] + s[len(s) // 2]) / 2
 
 
+def _weighted_median(counts: dict[float, int]) -> float:
+    """The median of values that each stand as often as counted, without spelling them out."""
+    s, half, upto = sorted(counts.items()), sum(counts.values()) / 2, 0
+    for i, (value, n) in enumerate(s):
+        upto += n
+        if upto > half:
+            return value
+        if upto == half:
+            return (value + s[i + 1][0]) / 2
+    raise ValueError("no values")
+
+
 def _feed_powers(key: tuple, rows: list[tuple]) -> list[tuple]:
     """Rows are (feed, kind, month, off, n): how far a feed's silent numbers lie under amounts known from others."""
     months = sorted({r[2] for r in rows})
@@ -83,17 +95,19 @@ def _count_powers(key: tuple, rows: list[tuple]) -> list[tuple]:
     """Rows are (cik, item, year, level, said, n): one company's history of a count, levels in tenths of log10.
     said: 0 a silent number; 1 an amount stated with its scale; 2 one implied by other items."""
     silent = [(r[2], r[3] / 10, r[5]) for r in rows if r[4] == 0]
-    known = {said: {} for said in (1, 2)}
+    counted = {said: {} for said in (1, 2)}
     for r in rows:
         if r[4]:
-            known[r[4]].setdefault(r[2], []).extend([r[3] / 10] * min(r[5], 99))
-    everywhere = [_median(v) for said in (1, 2) for v in known[said].values()] if any(known.values()) else []
+            year = counted[r[4]].setdefault(r[2], {})
+            year[r[3] / 10] = year.get(r[3] / 10, 0) + r[5]
+    known = {said: {y: _weighted_median(c) for y, c in counted[said].items()} for said in counted}
+    everywhere = [v for said in (1, 2) for v in known[said].values()] if any(known.values()) else []
     out = []
     segments = _segments([(level, float(n)) for _, level, n in silent]) if silent else []
     top = max((s[2] for s in segments), default=0.0)
     for a, b, level, _ in segments:
         years = {y for y, *_ in silent[a:b]}
-        here = next((v for said in (1, 2) if (v := [_median(known[said][y]) for y in years if y in known[said]])), everywhere)
+        here = next((v for said in (1, 2) if (v := [known[said][y] for y in years if y in known[said]])), everywhere)
         power = _factor((_median(here) if here else top) - level) or 0
         out += [(*key, year, round(value * 10), power) for year, value, _ in silent[a:b]]
     return out
