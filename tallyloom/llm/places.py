@@ -19,6 +19,10 @@ MONTHS = frozenset(
 MARK = re.compile(r"\s*(?:[-•*–—‣·◦▪►»>#]+|\(?[0-9]{1,3}(?:\.[0-9]{1,3})*[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,5}[.)])(?=\s)")
 NUMBERED_TITLE = re.compile(r"\s*(?:note|item|part|section|chapter|article|anmerkung|abschnitt|teil|ziffer|nota|parte|sección|artículo|partie|annexe)\s+(?:\d+[a-z]?|[ivx]+)\.(?=\s)", re.IGNORECASE)
 TABULAR = re.compile(r"\S {3,}\S|\S *\.{4,} *\d|\|.*\||\t.*\t")
+GAP = re.compile(r" {3,}|\.{4,}|[ ]*[|\t][ |\t]*")
+#: Gaps further apart than this on average, in columns, do not make a line with sentences in it a table row.
+LONGEST_CELL = 30
+WIDE = re.compile(r"[\u3000-\u9fff\uff00-\uff60]")
 STOP = re.compile(r"([.!?…]+)((?:[)\]\"”’'»]|[   ]»)*)(\s*)(?=\S)|[。！？]+[」』）)]*(\s*)(?=\S)")
 OPENERS = "([{\"“„«'‘¡¿$€£"
 ENDED = re.compile(r"[.!?。！？…][)\]\"”’'»」』）]*\s*$")
@@ -93,6 +97,15 @@ def is_tabular(line: str) -> bool:
     return ("   " in line or "|" in line or "...." in line or "\t" in line or ". . ." in line) and TABULAR.search(line) is not None
 
 
+def is_row(line: str) -> bool:
+    """Whether a line is a row of a table: it has the gaps of one, and is no prose with odd blanks. Prose ends a sentence
+    and has long stretches between its gaps."""
+    if not is_tabular(line):
+        return False
+    stretches = sum(1 for cell in GAP.split(line) if cell.strip())
+    return len(line.strip()) + len(WIDE.findall(line)) < LONGEST_CELL * stretches or not (ENDED.search(line) or STOP.search(line))
+
+
 def natural_places(text: str) -> list[tuple[int, int]]:
     """(offset, strength) of every natural place, in order; offsets count code points and the first is 0.
 
@@ -103,7 +116,7 @@ def natural_places(text: str) -> list[tuple[int, int]]:
     shown = [(_first(text, a, b), len(text[a:b].rstrip())) for a, b in lines]
     raw = [text[a:b] for a, b in lines]
     blank = [at >= b for (at, _), (_, b) in zip(shown, lines, strict=True)]
-    tabular = [is_tabular(r) for r in raw]
+    tabular = [is_row(r) for r in raw]
     tails = [r.rstrip()[-16:] for r in raw]  # longer than any abbreviation with its stop and what closes after it
     ended = [bool(ENDED.search(r)) and not SHORTENED.search(r) for r in tails]
     words = [len(re.match(r"\S*", text[at:b])[0]) for (at, _), (_, b) in zip(shown, lines, strict=True)]
@@ -131,7 +144,7 @@ def natural_places(text: str) -> list[tuple[int, int]]:
     whole = sorted(found)
     for low, high in pairwise([*whole, len(text)]):
         line = text[low : high if (nl := text.find("\n", low, high)) < 0 else nl]
-        if is_tabular(line):
+        if is_row(line):
             continue
         title = NUMBERED_TITLE.match(line) or MARK.match(line)
         _sentences(text, low + (title.end() if title else 0), high, found)
