@@ -18,11 +18,15 @@ CHARS = 4  # a token is counted as four code points
 
 
 def _cut(text: str, low: int, high: int, offsets: list[int], strength: list[int], most: int) -> int:
-    """The strongest place near the middle of text[low:high]; else a blank there, else the middle itself."""
+    """The strongest place near the middle of text[low:high], else the nearest one anywhere in it; where it has none, a
+    blank near the middle, else the middle itself."""
     mid, reach = (low + high) // 2, (high - low) // 4
     a, b = bisect_left(offsets, max(mid - reach, low + 1)), bisect_right(offsets, min(mid + reach, high - 1))
     if a < b:
         return offsets[max(range(a, b), key=lambda i: (strength[i], -abs(offsets[i] - mid)))]
+    # None lies in the window, so those on either side of it are the only ones left.
+    if beside := [offsets[i] for i in (a - 1, a) if 0 <= i < len(offsets) and low < offsets[i] < high]:
+        return min(beside, key=lambda o: abs(o - mid))
     near = max(1, min(reach, most // 4))
     right = next((i + 1 for i in range(mid, min(mid + near, high - 1)) if text[i].isspace()), None)
     left = text.rfind(" ", max(low + 1, mid - near), mid)
@@ -34,7 +38,7 @@ def split_text(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces of a text over ``target`` tokens; a smaller one is one piece.
 
     Recursive bisection: a range over the limit less the overlap is cut at the strongest natural place near its middle,
-    each half likewise. Then each piece but the first is begun about ``overlap`` tokens earlier, at a natural place or a
+    or at the nearest one, each part likewise; only a stretch without any is cut within. Then each piece but the first is begun about ``overlap`` tokens earlier, at a natural place or a
     blank. No piece exceeds the limit and every code point lies in one. An overlap over half the limit counts as half.
     """
     most = CHARS * target + CHARS - 1

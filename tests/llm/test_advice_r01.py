@@ -2,6 +2,7 @@
 
 import pytest
 
+from tallyloom.llm.chunking import split_text
 from tallyloom.llm.places import natural_places
 
 
@@ -17,3 +18,10 @@ from tallyloom.llm.places import natural_places
 def test_prose_with_odd_blanks_is_no_table(text, starts):
     found = [o for o, _ in natural_places(text)]
     assert len(found) == len(starts) and all(text[o:].startswith(s) for o, s in zip(found, starts)), [text[o : o + 12] for o in found]
+
+
+def test_places_beside_the_window_are_used():
+    short, long = "Cash rose. ", "word " * 65 + "end. "
+    text = short + long + short
+    offsets = {o for o, _ in natural_places(text)} | {len(text)}
+    assert len(long) <= 4 * 85 + 3 < len(text) and {b for _, b in split_text(text, 85, 0)} <= offsets
