@@ -4,6 +4,7 @@ import pytest
 
 from tallyloom.llm.chunking import split_text
 from tallyloom.llm.places import natural_places
+from tallyloom.llm.survivors import closed_order, survivors
 
 
 @pytest.mark.parametrize(
@@ -25,3 +26,29 @@ def test_places_beside_the_window_are_used():
     text = short + long + short
     offsets = {o for o, _ in natural_places(text)} | {len(text)}
     assert len(long) <= 4 * 85 + 3 < len(text) and {b for _, b in split_text(text, 85, 0)} <= offsets
+
+
+ENTRY = "entry_id BIGINT, cik BIGINT, segment_id BIGINT, tag STRING, unit STRING, period_start STRING, period_end STRING, val DOUBLE, fy INT, fp STRING, form STRING, filed STRING, loaded_at TIMESTAMP_NTZ"
+
+
+def test_closed_order():
+    assert closed_order([("x", "p"), ("p", "q"), ("q", "r"), ("r", "q"), ("r", "z")]) == {"x": set(), "p": {"x"}, "q": {"x", "p"}, "r": {"x", "p"}, "z": {"x", "p", "q", "r"}}
+
+
+def test_undated_rows_take_the_topologically_latest(spark):
+    rows = []
+
+    def fact(cik, form, filed, val=1.0):
+        rows.append((len(rows), cik, 1, "T", "USD", None, "2015-12-31", val, 2015, "FY", form, filed, None))
+
+    for i, (a, b) in enumerate([("8-K", "10-K"), ("6-K", "10-K"), ("S-1", "10-K"), ("10-K", "10-K/A")]):
+        fact(i, a, "2016-01-01")
+        fact(i, b, "2016-02-01")
+    fact(90, "10-K/A", None)
+    fact(90, "10-K", "n/a")  # before 10-K/A, though three states precede it
+    fact(91, "8-K", None)
+    fact(91, "20-F", None)  # not comparable: by entry
+    fact(92, "10-K/A", None, None)
+    fact(92, "8-K", None)  # the only one with a value
+    got = {r["cik"]: (r["val_entry_id"], r["fy_entry_id"], r["n_rows"]) for r in survivors(spark.createDataFrame(rows, ENTRY)).where("cik >= 90").collect()}
+    assert got == {90: (8, 9, 2), 91: (11, 10, 2), 92: (13, 13, 2)}
