@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import runlog
 from tallyloom.operators.nested import emit_tagged, with_schema
 from tallyloom.session import table
-from tallyloom.sources.readers import cache_key, latest_annual, long_facts, padded_cik, resolve_ticker, source_url, ticker, zipped
+from tallyloom.sources.readers import cache_key, long_facts, padded_cik, resolve_ticker, source_url, ticker
 from tallyloom.streaming.runs import event_stream, replay, terminal_states, windowed_counts
 
 
@@ -56,16 +56,15 @@ def q54_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return counts.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-def _histories(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's orders as parallel arrays, newest first, as filing histories come."""
-    each = F.struct((-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("t"), F.col("o_orderkey").alias("accession"), F.col("o_orderstatus").alias("s"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"))
-    form = lambda x: F.when(x["s"] == "F", "10-K").when(x["s"] == "O", "10-K/A").otherwise("10-Q")
-    g = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(each)).alias("a"))
-    return g.select("o_custkey", F.transform("a", form).alias("form"), F.transform("a", lambda x: x["accession"]).alias("accession"), F.transform("a", lambda x: x["filed"]).alias("filed"))
+def _annual(spark: SparkSession, d: str) -> DataFrame:
+    """Orders that stand for annual filings, one row each; amendments and quarterly ones left out."""
+    return table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_custkey", "o_orderkey", "o_orderdate", (-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("age"))
 
 
 def q51_filing_history(spark: SparkSession, d: str) -> DataFrame:
-    return latest_annual(zipped(_histories(spark, d), "o_custkey", ["form", "accession", "filed"]), "o_custkey")
+    """Each customer's newest annual filing; combined before the shuffle, so a customer may have any number."""
+    g = _annual(spark, d).groupBy("o_custkey").agg(F.min_by(F.struct("o_orderkey", "o_orderdate"), F.struct("age", "o_orderkey")).alias("r"))
+    return g.select("o_custkey", F.col("r.o_orderkey").alias("accession"), F.date_format("r.o_orderdate", "yyyy-MM-dd").alias("filed"))
 
 
 def q52_validate_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -114,10 +113,10 @@ def q63_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q64_annual_filings(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's first three annual filings, newest first, as rows from the parallel arrays."""
-    z = zipped(_histories(spark, d), "o_custkey", ["form", "accession", "filed"]).where("form = '10-K'")
-    w = Window.partitionBy("o_custkey").orderBy("place")
-    return z.withColumn("n", F.row_number().over(w).cast("bigint")).where("n <= 3").select("o_custkey", "n", "accession", "filed")
+    """Each customer's first three annual filings, newest first; each task passes on three of a customer at most."""
+    w = Window.partitionBy("o_custkey").orderBy("age", "o_orderkey")
+    first = _annual(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 3")
+    return first.select("o_custkey", F.col("n").cast("bigint").alias("n"), F.col("o_orderkey").alias("accession"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"))
 
 
 def q65_fingerprints(spark: SparkSession, d: str) -> DataFrame:
