@@ -15,25 +15,27 @@ from tallyloom.session import checkpointed
 
 #: Hashed words a page's domain is told from, and labelled pages the classifier is fitted on at most.
 WORDS, TRAINING_PAGES = 1 << 12, 20_000
-#: Posteriors are rounded to steps of this share, so that documents fall into a bounded number of classes.
-STEP = 0.1
+#: Posteriors are dealt out in so many equal steps, so that documents fall into a bounded number of classes.
+STEPS = 10
 ROUNDS = 60
 BITS = 12
 
 
-def distinct_texts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """One row per distinct non-empty text: ``doc_id`` (the lowest of those with a source, else the lowest), ``source``
-    (NULL if unknown), ``n_tokens`` and ``n_copies``. Copies count as one text, so that no text passes its cap under
+def distinct_texts(docs: DataFrame, goals: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """One row per distinct non-empty text: ``doc_id`` (the lowest of those whose source is in ``goals``, else of those with
+    a source, else the lowest), ``source`` (NULL if unknown), ``n_tokens`` and ``n_copies``. Copies count as one text, so that no text passes its cap under
     another id. Only hashes are shuffled, aggregated before; a text's copies never meet in one task."""
     slim = docs.where(F.length("text") > 0).select("doc_id", "source", F.sha2("text", 256).alias("digest"), "text")
     counted = token_counts(slim, vocabulary=vocabulary).where("n_tokens > 0")
-    best = F.struct(F.col("source").isNull().alias("u"), "doc_id", "source", "n_tokens")
+    counted = counted.join(F.broadcast(goals.select("source", F.lit(True).alias("wanted"))), "source", "left")
+    best = F.struct(F.col("wanted").isNull().alias("w"), F.col("source").isNull().alias("u"), "doc_id", "source", "n_tokens")
     return counted.groupBy("digest").agg(F.min(best).alias("b"), F.count(F.lit(1)).alias("n_copies")).select("b.doc_id", "b.source", "b.n_tokens", "n_copies")
 
 
 def domain_posteriors(docs: DataFrame, domains: list[str]) -> DataFrame:
-    """(``doc_id``, ``domain``, ``p``) for documents without a source: the posterior of each domain they may belong to,
-    rounded to steps of ``STEP``. The classifier is a multinomial naive Bayes on hashed words, fitted on labelled rows.
+    """(``doc_id``, ``domain``, ``p``, ``exact``) for documents without a source: the posterior of each domain, dealt out in
+    ``STEPS`` equal steps, and as it is. The steps are those of the cumulated posterior from a start that the id's hash
+    gives: every document keeps a sum of 1, and over many documents a domain keeps the mass it has, however small. The classifier is a multinomial naive Bayes on hashed words, fitted on labelled rows.
     Texts are scored where they are read; only posteriors are shuffled."""
     index = reduce(lambda done, i: done.when(F.col("source") == domains[i], F.lit(float(i))), range(len(domains)), F.when(F.lit(False), F.lit(0.0)))
     words = F.split(F.lower("text"), r"[^\p{L}]+")
@@ -44,11 +46,13 @@ def domain_posteriors(docs: DataFrame, domains: list[str]) -> DataFrame:
     model = NaiveBayes(labelCol="label", featuresCol="features").fit(tf.transform(sample.select("label", words.alias("words"))))
     asked = docs.where(F.col("source").isNull() & (F.length("text") > 0))
     scored = model.transform(tf.transform(asked.select("doc_id", words.alias("words"))))
-    share = scored.select("doc_id", F.posexplode(vector_to_array("probability")).alias("i", "p")).groupBy("doc_id", "i").agg(F.max("p").alias("p"))
-    rounded = share.withColumn("p", F.round(F.col("p") / STEP) * STEP).where("p > 0")
-    total = rounded.groupBy("doc_id").agg(F.sum("p").alias("total"))
+    each = scored.select("doc_id", vector_to_array("probability").alias("exact")).groupBy("doc_id").agg(F.max("exact").alias("exact"))
+    start = F.pmod(F.xxhash64(F.lit("step"), "doc_id"), F.lit(1_000_000)) / 1_000_000
+    upto = lambda i: F.floor(F.round(F.aggregate(F.slice("exact", 1, i), F.lit(0.0), lambda a, x: a + x), 9) * STEPS + start)
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda i: (upto(i + 1) - upto(i)) / STEPS)
     names = F.array(*[F.lit(d) for d in domains])
-    return rounded.join(total, "doc_id").select("doc_id", names[F.col("i")].alias("domain"), (F.col("p") / F.col("total")).alias("p"))
+    listed = each.select("doc_id", F.explode(F.arrays_zip(names.alias("domain"), dealt.alias("p"), "exact")).alias("z"))
+    return listed.select("doc_id", "z.domain", "z.p", "z.exact")
 
 
 def _dot(vector: Column, weights: list[float]) -> Column:
@@ -119,7 +123,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> Da
     others in proportion. A NULL ``max_repeats`` counts as 1.
     """
     goals = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("target_share").alias("share"), F.max(F.coalesce("max_repeats", F.lit(1))).alias("cap"))
-    texts = checkpointed(distinct_texts(docs, vocabulary))
+    texts = checkpointed(distinct_texts(docs, goals, vocabulary))
     rows = goals.join(texts.select("source").distinct(), "source", "left_semi").orderBy("source").collect()  # at most the target table's dozen
     if not rows:
         return texts.where("false").select("doc_id", F.col("source").alias("domain"), "n_tokens", F.lit(0).alias("uses"))
@@ -134,7 +138,7 @@ def mix(docs: DataFrame, targets: DataFrame, vocabulary: str = VOCABULARY) -> Da
     if not unknown.isEmpty() and len(domains) > 1 and not known.isEmpty():
         post = domain_posteriors(docs, domains)
         at = F.create_map(*[x for i, d in enumerate(domains) for x in (F.lit(d), F.lit(i))])
-        listed = post.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(at[F.col("domain")].alias("i"), "p"))).alias("m"), F.max_by(at[F.col("domain")], F.struct("p", "domain")).alias("best"))
+        listed = post.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct(at[F.col("domain")].alias("i"), "p"))).alias("m"), F.max_by(at[F.col("domain")], F.struct("exact", "domain")).alias("best"))
         soft = unknown.join(listed, "doc_id").select(
             "doc_id", "n_tokens", F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0))).alias("p"), cap_of[F.col("best")].alias("cap"), "best"
         )
