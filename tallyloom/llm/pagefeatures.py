@@ -1,102 +1,111 @@
-"""What tells prose, honest lists and stuffed keywords apart within one page."""
+"""What tells prose, honest lists and stuffed keywords apart within one page: features of its windows, and weak votes."""
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
-from tallyloom.llm.places import is_tabular
+import numpy as np
 
 # Words without which sentences of the corpus languages can hardly be written.
 FUNCTION_WORDS = frozenset(
     "the a an of to and or in on for by with from at as is are was were be been it its this that these those we our us you your they their he his her not but if while because since than then there may could would will can has have had do did does which who what into over under per against between under such any all more most so no "
     "der die das den dem des ein eine einen einem einer und oder zu im in am an auf aus bei mit nach von vom vor zum zur für über um durch gegen bis ist sind war waren wird wurde wurden werden hat haben hatte wir uns unser unsere sich nicht auch als wie dies diese dieser könnten könnte sollte wegen ohne wenn sowie "
     "le la les un une des du de et ou à au aux en dans par pour sur avec sans est sont était ont été a nous notre nos vous votre il elle ils se ce cette ces qui que dont ne pas plus si comme pourrait pourraient serait hors "
-    "el los las una unos unas del y o al en con por para sin sobre es son fue fueron ha han se su sus que no más si como este esta estos nuestra nuestro podría podríamos habría sido hasta frente otros".split()
+    "el los las un una unos unas del y o al en con por para sin sobre es son fue fueron ha han se su sus que no más si como este esta estos nuestra nuestro podría podríamos habría sido hasta frente otros".split()
 )
-# Words that stuffed pages put around their keywords.
-PROMOTION = frozenset("free cheap best top online discount official fast instant near me near-me compare review new sale hot buy deal deals offer offers related tags labels tag label keywords sku stock".split())
-LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]]*\]\([^)]*\)|https?://\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:com|org|net|info|biz|io|example|invalid|test)\b\S*", re.IGNORECASE)
-HASH = re.compile(r"#\w[\w-]*")
-WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
-CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]")
-CJK_PROSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff]{3}.*(?:[をはがにで]|した|する|ます)|[をはがに]")
-NAMES = ["links", "hashtags", "stuffed", "loose", "promotion", "numbers", "symbols", "repeat", "spread", "tabular", "short", "length"]
-WINDOW = 16
+# Words that sellers of traffic put around their keywords.
+PROMOTION = frozenset("free cheap best top online discount official fast instant near-me compare review new deals offers tags labels tag label keywords".split())
+LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]]*\]\([^)]*\)|https?://\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S*", re.IGNORECASE)
+PARTICLE, HAN = re.compile(r"[はがをにのでともや]"), re.compile(r"[぀-ヿ㐀-鿿]")
+#: Marks between words become blanks, save ``#`` and ``-``, which are parts of tags and names.
+APART = str.maketrans({c: " " for c in "|@»«★•/–—,;:!?()[]{}<>\"'“”„’‘`*=+~_。、，！？（）「」"} | {"\u00a0": " "})
 
+#: Measures of a window; a page has the mean and the median of each over its characters.
+MEASURES = ("glue", "linked", "tagged", "again", "once", "figures", "marks", "commas", "length", "ends")
+NAMES = [f"mean_{m}" for m in MEASURES] + [f"median_{m}" for m in MEASURES] + ["vocabulary", "squeezed", "size"]
+#: Votes for (1) and against (-1) a page being stuffed.
+VOTES = ("links", "hashtags", "ruling_phrase", "promotion", "sentences", "figures", "varied")
+WINDOW, WIDE = 16, 60
+ENDS, MARKS = (". ", "! ", "? ", "。"), "|@»★•/–#"
 
-def _pieces(line: str) -> list[tuple[str, list[str]]]:
-    """A line with its lower-case words; a long one in windows of words, a short rest joined to the last."""
-    words = line.split()
-    if len(words) < WINDOW + 8:
-        return [(line, line.lower().split())]
-    edges = [*range(0, len(words) - WINDOW // 2, WINDOW), len(words)]
+
+def _windows(text: str) -> list[str]:
+    """Every line that is not blank; a long one in stretches of words, or of characters where it has no blanks."""
     out = []
-    for a, b in zip(edges, edges[1:], strict=False):
-        part = " ".join(words[a:b])
-        out.append((part, part.lower().split()))
+    for line in text.split("\n"):
+        words = line.split()
+        if not words:
+            continue
+        if len(line) > 4 * WIDE and len(line) > 2 * WIDE * len(words) // 3:
+            out += [line[i : i + WIDE] for i in range(0, len(line), WIDE)]
+        elif len(words) < WINDOW + 8:
+            out.append(line)
+        else:
+            edges = [*range(0, len(words) - WINDOW // 2, WINDOW), len(words)]
+            out += [" ".join(words[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
     return out
 
 
-def _is_prose(part: str, words: list[str]) -> bool:
-    known = FUNCTION_WORDS.intersection(words)
-    return (len(known) >= 3 and 6 * len(known) >= len(words)) or (len(words) < 4 and len(part) > 8 and bool(CJK_PROSE.search(part)))
-
-
-def features(text: str | None) -> list[float]:
-    """The page's features, shares of its characters unless said otherwise; all 0 for a NULL, empty or blank page.
+def page(text: str | None) -> tuple[list[float], list[int]]:
+    """The page's features (``NAMES``) and its votes (``VOTES``, 0 for none); both empty for a NULL, empty or blank page.
 
-    ``stuffed`` is the share in links, hashtags and pieces of keywords: pieces without the function words of a sentence
-    whose words are promotion or keep coming back on the page. ``loose`` is the share of pieces that are no sentences;
-    ``promotion``, ``numbers``, ``symbols`` are counts per word of these, ``repeat`` and ``spread`` tell of their words.
+    Features describe windows of about a line: the share of function words (of particles among Japanese letters), of link and
+    hashtag characters, of word pairs that come back on the page, of words that occur once, of figures, the rate of
+    separators, commas and sentence ends, the length of words. The median window stands for what over half of the page
+    is. Votes are counts over the page as a whole, and no feature holds any of them.
     """
-    total, loose = 0, []
-    for line in (text or "").split("\n"):
-        if line and not line.isspace():
-            for part, words in _pieces(line):
-                total += len(part)
-                if not _is_prose(part, words):
-                    loose.append(part)
-    if not total:
-        return [0.0] * len(NAMES)
-    f = dict.fromkeys(NAMES, 0.0)
-    f["length"] = min(1.0, total / 10_000)
-    if not loose:
-        return [f[k] for k in NAMES]
-    bare = [LINK.sub(" ", p) for p in loose]
-    hashed = [sum(map(len, HASH.findall(b))) if "#" in b else 0 for b in bare]
-    words = [[w.lower() for w in WORD.findall(HASH.sub(" ", b))] for b in bare]
-    pairs = Counter(p for ws in words for p in zip(ws, ws[1:], strict=False))
-    single = Counter(w for ws in words for w in ws)
-    n_words = max(1, sum(map(len, words)))
-    ruling = max(3, 0.15 * n_words)  # a phrase that comes back every few words rules the page
-    for part, rest, tags, ws in zip(loose, bare, hashed, words, strict=True):
-        size, n = len(part), len(ws)
-        table = "|" not in part and is_tabular(part)
-        linked = size - len(rest)
-        few = len(FUNCTION_WORDS.intersection(ws)) <= 2
-        numbers = sum(w[0].isdigit() or w[-1].isdigit() for w in ws)
-        promoted = sum(w in PROMOTION for w in ws)
-        back = [pairs[p] for p in zip(ws, ws[1:], strict=False)]
-        again = sum(c >= 3 for c in back)
-        covered = sum(a >= 3 or b >= 3 for a, b in zip([0, *back], [*back, 0], strict=True)) if n > 1 else 0
-        ruled = max(2 * sum(c >= ruling for c in back), 3 * sum(single[w] >= ruling and CJK.match(w) is not None for w in ws))
-        stuffed = linked + tags > 0.35 * size
-        if not stuffed and n and few and not table:
-            stuffed = (promoted >= 0.1 * n and numbers <= 0.4 * n) or (numbers <= 0.34 * n and (covered >= 0.75 * n or ruled >= 0.4 * n))
-        f["stuffed"] += size * stuffed
-        f["links"] += linked
-        f["hashtags"] += tags
-        f["loose"] += size
-        f["tabular"] += size * table
-        f["short"] += size * (n < 8)
-        f["numbers"] += numbers
-        f["promotion"] += promoted
-        f["symbols"] += sum(rest.count(c) for c in "★»#@/|")
-        f["repeat"] += again
-    for k in ("stuffed", "links", "hashtags", "loose", "tabular", "short"):
-        f[k] = min(1.0, f[k] / total)
-    for k in ("numbers", "promotion", "symbols", "repeat"):
-        f[k] /= n_words
-    f["spread"] = len(single) / n_words
-    return [float(f[k]) for k in NAMES]
+    windows = _windows(text or "")
+    if not windows:
+        return [], []
+    sizes = np.array([len(w) for w in windows], dtype=float)
+    total = float(sizes.sum())
+    links = [sum(map(len, LINK.findall(w))) if "://" in w or "www." in w or "<a" in w or "](" in w or ".com" in w else 0 for w in windows]
+    low = [(LINK.sub(" ", w) if n else w).lower().translate(APART).split() for w, n in zip(windows, links, strict=True)]
+    words, pairs = Counter(), Counter()
+    for lo in low:
+        words.update(lo)
+        pairs.update(zip(lo, lo[1:]))
+    n_words, n_pairs = max(1, words.total()), max(1, pairs.total())
+    single, back = {w for w, c in words.items() if c == 1}, {p for p, c in pairs.items() if c > 2}
+    digits, tags = {w for w in words if w[0].isdigit() and not any(map(str.isalpha, w))}, {w for w in words if w[0] == "#"}
+    rows, n_ends = [], 0
+    for window, linked, lo in zip(windows, links, low, strict=True):
+        n, size = max(1, len(lo)), len(window)
+        glue = sum(map(FUNCTION_WORDS.__contains__, lo)) / n
+        if glue == 0 and not window.isascii() and (han := len(HAN.findall(window))) * 4 > size:
+            glue = min(1.0, 2 * len(PARTICLE.findall(window)) / han)
+        ends = sum(map(window.count, ENDS)) + (window[-1] in ".!?")
+        n_ends += ends
+        rows.append(
+            (
+                glue,
+                min(1.0, linked / size),
+                min(1.0, sum(len(w) for w in lo if w in tags) / size) if tags else 0.0,
+                sum(map(back.__contains__, zip(lo, lo[1:]))) / max(1, n - 1) if back else 0.0,
+                sum(map(single.__contains__, lo)) / n,
+                sum(map(digits.__contains__, lo)) / n,
+                min(2.0, sum(map(window.count, MARKS)) / n),
+                min(2.0, window.count(",") / n),
+                min(30.0, size / n),
+                min(1.0, ends / n),
+            )
+        )
+    values = np.array(rows)
+    order = np.argsort(values, axis=0, kind="stable")
+    at = (np.cumsum(sizes[order], axis=0) >= total / 2).argmax(axis=0)
+    medians = np.take_along_axis(values, np.take_along_axis(order, at[None, :], axis=0), axis=0)[0]
+    raw = "\n".join(windows).encode("utf-8", "replace")
+    f = [*(sizes @ values / total).tolist(), *medians.tolist(), len(words) / n_words, len(zlib.compress(raw, 1)) / len(raw), min(1.0, total / 10_000)]
+    glued = f[MEASURES.index("glue")]
+    votes = [
+        int(2 * sum(links) > total),
+        int(3 * sum(words[w] for w in tags) > n_words),
+        int(n_pairs >= 20 and 12 * max(pairs.values(), default=0) > n_pairs),
+        int(n_words >= 20 and 10 * sum(words[w] for w in PROMOTION) > n_words),
+        -int(40 * n_ends > n_words and glued > 0.12),
+        -int(4 * sum(words[w] for w in digits) > n_words),
+        -int(not any(links) and not tags and 10 * len(pairs) >= 8 * pairs.total()),
+    ]
+    return f, votes

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from tallyloom.llm.bpe import PATTERN, VOCABULARY, encode_corpus, encoder, token_counts
 from tallyloom.llm.chunking import cut_places, split_oversized, split_text
 from tallyloom.llm.mixing import mix, shares_reached
-from tallyloom.llm.pagefeatures import NAMES, features
+from tallyloom.llm.pagefeatures import NAMES, VOTES, page
 from tallyloom.llm.places import natural_places
-from tallyloom.llm.spam import spam_scores, stuffed_pages
+from tallyloom.llm.spam import spam_scores, stuffed_pages, weak_label
 from tallyloom.llm.survivors import duplicate_survivors, keyed, learned_precedence, survivors
 
 DOCS = "doc_id BIGINT, text STRING, source STRING, settings_id STRING"
@@ -173,28 +173,59 @@ LISTS = ["Index of exhibits\n" + "".join(f"3.{i}  Lease and plant number {i} ...
 
 
 def test_features_tell_pages_apart():
-    at = NAMES.index("stuffed")
-    assert all(features(k * 12)[at] > 0.8 for k in KEYWORDS)
-    assert all(features(x)[at] < 0.2 for x in (*LISTS, PROSE * 5))
-    assert features(None) == features("") == features(" \n ") == [0.0] * len(NAMES)
-    assert all(len(f) == len(NAMES) and all(0 <= x for x in f) for f in map(features, [*KEYWORDS, *LISTS, "日本語の文章を書いた。", "x"]))
-
-
-def test_stuffed_pages_held_out(spark):
+    at = {n: i for i, n in enumerate(NAMES)}
+    assert page(None) == page("") == page(" \n ") == ([], [])
+    seen = [page(t) for t in (*(k * 12 for k in KEYWORDS), *LISTS, PROSE * 5, "日本語の文章を書いた。", "x", "…", "a" * 5000, "# # #")]
+    assert all(len(f) == len(NAMES) and len(v) == len(VOTES) and all(0 <= x for x in f) for f, v in seen)
+    assert all(page(k * 12)[0][at["median_glue"]] < 0.1 for k in KEYWORDS) and page(PROSE * 5)[0][at["median_glue"]] > 0.3
+    # The median window stands for what over half of a page is.
+    keywords = KEYWORDS[0] * 20
+    mostly = [page(PROSE * n + "\n" + keywords)[0][at["median_glue"]] for n in (1, 40)]
+    assert mostly[0] < 0.1 and mostly[1] > 0.3
+
+
+def _pages(n=150):
     rnd = random.Random(2)
     rows, spam = [], set()
-    for i in range(150):
+    for i in range(n):
         kind = i % 3
         text = PROSE * rnd.randint(1, 4) if kind == 0 else rnd.choice(LISTS) if kind == 1 else PROSE + "\n" + rnd.choice(KEYWORDS) * rnd.randint(12, 25)
         spam |= {i} if kind == 2 else set()
         rows.append((i, text, rnd.choice(["a", "b", None]), None))
-    rows += [(900, None, "a", None), (901, "", None, None)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("label", F.lit("clash")).withColumn("f", F.lit(1))
-    found = {r["doc_id"] for r in stuffed_pages(df).collect()}
-    assert found == spam
-    scores = spam_scores(df.where("doc_id >= 900"))  # one kind of page alone: no trees
-    assert {r["score"] > 0.5 for r in scores.collect()} == {False}
+    return rows, spam
+
+
+def test_stuffed_pages_held_out(spark):
+    rows, spam = _pages()
+    rows += [(900, None, "a", None), (901, "", None, None), (902, " \n", "a", None)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("label", F.lit("clash")).withColumn("f", F.lit(1)).withColumn("votes", F.lit("clash"))
+    assert {r["doc_id"] for r in stuffed_pages(df).collect()} == spam
+    assert {r["score"] for r in spam_scores(df.where("doc_id >= 900")).collect()} == {0.0}
     assert stuffed_pages(df.where("false")).count() == 0
+    assert stuffed_pages(df.where("doc_id % 3 = 0")).count() == 0  # pages of one kind
+
+
+#: Stuffed, but with neither promotion, nor a ruling phrase, nor links enough for a vote.
+QUIET = ["penny share tips", "audit software", "balance sheet template", "payroll app", "margin calculator", "invoice loan", "stock screener", "tax filing help", "dividend calendar", "earnings date", "quarterly results", "buy shares"]
+
+
+def test_trees_decide_where_votes_do_not(spark):
+    rnd = random.Random(4)
+    rows, spam = _pages()
+    quiet = [(500 + i, " / ".join(rnd.sample(QUIET, 12) + rnd.sample(QUIET, 12) + rnd.sample(QUIET, 12)), "a", None) for i in range(5)]
+    scores = {r["doc_id"]: r for r in spam_scores(spark.createDataFrame(rows + quiet, DOCS)).withColumn("label", weak_label(F.col("votes"))).collect()}
+    assert {scores[r[0]]["label"] for r in quiet} == {None}  # the votes alone find none of them
+    assert all(scores[r[0]]["score"] > 0.5 for r in quiet) and {i for i, r in scores.items() if i < 500 and r["score"] > 0.5} == spam
+
+
+def test_hosts_decide_between_like_pages(spark):
+    rows, spam = _pages()
+    rows = [(i, t, "bad" if i in spam else "good", None) for i, t, *_ in rows]
+    doubtful = PROSE * 2 + "\n" + "audit software / payroll app / invoice loan\n" * 9
+    rows += [(700, doubtful, "bad", None), (701, doubtful, "good", None)]
+    got = {r["doc_id"]: r for r in spam_scores(spark.createDataFrame(rows, DOCS)).where("doc_id >= 700").collect()}
+    assert got[700]["tree_score"] == got[701]["tree_score"]  # without the hosts both would be decided alike
+    assert got[700]["score"] > 0.5 > got[701]["score"]
 
 
 def test_times_do_not_matter(spark):
