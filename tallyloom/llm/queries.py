@@ -10,7 +10,7 @@ from tallyloom.llm.chunking import cut_places, split_oversized
 from tallyloom.llm.mixing import mix, shares_reached
 from tallyloom.llm.spam import spam_scores, stuffed_pages
 from tallyloom.llm.survivors import duplicate_survivors, survivors
-from tallyloom.session import checkpointed, table
+from tallyloom.session import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shares_reached(checkpointed(p7_mix(spark, sf_dir)), table(spark, sf_dir, "mix_target"))
+    return shares_reached(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.bpe import PATTERN, VOCABULARY, encode_corpus, encoder, token_counts
 from tallyloom.llm.chunking import cut_places, split_oversized, split_text
-from tallyloom.llm.mixing import mix, shares_reached
+from tallyloom.llm.mixing import fit_mix, fit_rates, mix, shares_reached
 from tallyloom.llm.pagefeatures import NAMES, VOTES, page
 from tallyloom.llm.places import natural_places
 from tallyloom.llm.spam import spam_scores, stuffed_pages, weak_label
@@ -153,18 +153,54 @@ def _corpus(spark, n=240):
 
 
 def test_mix(spark):
-    docs = _corpus(spark).withColumn("cap", F.lit("clash")).withColumn("p", F.lit(0))
+    docs = _corpus(spark).withColumn("cap", F.lit("clash")).withColumn("p", F.lit(0)).withColumn("slot", F.lit(7))
     targets = spark.createDataFrame([("risk", 0.5, 2), ("review", 0.3, 1), ("tiny", 0.1, 3), ("absent", 0.1, 4)], "source STRING, target_share DOUBLE, max_repeats INT")
     mixed = mix(docs, targets).cache()
-    caps = {"risk": 2, "review": 1, "tiny": 3}
+    caps, longest = {"risk": 2, "review": 1, "tiny": 3}, 0
     for r in mixed.collect():
         assert 1 <= r["uses"] <= caps[r["domain"]] and r["doc_id"] not in (1001, 1002, 1003)
+        longest = max(longest, r["n_tokens"])
     assert mixed.where("doc_id in (1, 1000)").count() <= 1
-    got = {r["source"]: r["share"] for r in shares_reached(mixed, targets).collect()}
-    assert got["absent"] == 0.0
+    rows = shares_reached(docs, targets).collect()
+    got, total = {r["source"]: r["share"] for r in rows}, sum(r["tokens"] for r in rows)
+    assert got["absent"] == 0.0 and rows[0]["rounds"] > 0
     for s, want in (("risk", 0.5), ("review", 0.3), ("tiny", 0.1)):
-        assert got[s] == pytest.approx(want / 0.9, abs=0.03)
+        assert got[s] == pytest.approx(want / 0.9, abs=2 * longest / total)  # to within a text
     assert mix(docs.where("false"), targets).count() == 0 and mix(docs, targets.where("false")).count() == 0
+    assert shares_reached(docs.where("false"), targets).count() == 4
+    assert {r["domain"] for r in mix(docs, targets.where("source = 'risk'")).collect()} == {"risk"}
+
+
+def test_every_text_is_soft(spark):
+    rnd = random.Random(6)
+    kinds = {"risk": "loss failure dispute penalty regulator", "review": "revenue margin growth demand price"}
+    rows = []
+    for i in range(300):
+        source = rnd.choice(["risk", "review"])
+        own, other = kinds[source].split(), kinds["review" if source == "risk" else "risk"].split()
+        rows.append((i, " ".join(rnd.choice(own if rnd.random() < 0.6 else other) for _ in range(4)), source if i % 10 else None))
+    texts = fit_mix(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING"), spark.createDataFrame([("risk", 0.6, 2), ("review", 0.4, 2)], "source STRING, target_share DOUBLE, max_repeats INT")).texts.collect()
+    assert all(sum(r["p"]) == pytest.approx(1.0) for r in texts)
+    assert sum(0.001 < min(r["p"]) for r in texts) > 0.9 * len(texts)  # those with a source too
+    assert len({round(r["rate"], 6) for r in texts}) > 20  # rates follow the posteriors, not the source alone
+
+
+def test_gradient_balances_overlapping_domains(spark):
+    """Domains that overlap in all texts: uniform rates miss the targets by far, the rounds bring them near."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(4000):
+        best = rnd.randrange(3)
+        p = [rnd.random() * 0.8 + (0.5 if j == best else 0.0) for j in range(3)]
+        rows.append((i, rnd.randint(50, 500), [x / sum(p) for x in p], best, 2))
+    texts = spark.createDataFrame(rows, "doc_id BIGINT, n_tokens BIGINT, p ARRAY<DOUBLE>, best INT, cap INT")
+    shares = [0.38, 0.33, 0.29]
+    neutral = fit_rates(texts, shares, rounds=0)
+    fitted, goal, rounds, residual, start = fit_rates(texts, shares)
+    assert neutral[2] == 0 and neutral[3] == start > 0.02 and rounds >= 2 and residual < start / 3
+    got = fitted.select(*[F.sum(F.col("rate") * F.col("n_tokens") * F.get("p", F.lit(i))) for i in range(3)]).first()
+    assert all(abs(g - w) <= 1.01 * residual * sum(goal) + 1e-6 for g, w in zip(got, goal))
+    assert fitted.where("rate < 0 or rate > cap").count() == 0
 
 
 PROSE = "The company held cash of $5.5 million at the end of the year. We depend on the supplier for our plant, and it could harm our sales if they were to end the contract. "
