@@ -40,10 +40,17 @@ class Mix:
     start: float
 
 
-def _softmax(scores: Column) -> Column:
-    top = F.array_max(scores)
-    e = F.transform(scores, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    e = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel()))
 
 
 def _numbers(values: list[float]) -> Column:
@@ -110,20 +117,38 @@ def domain_posteriors(texts: DataFrame, k: int, trust: float = TRUST) -> DataFra
     mean log probability; as every text is scored by a classifier that has not seen it, the posteriors are calibrated by
     held-out labels. A recorded source is evidence that holds with probability ``trust``, so it is no certainty either."""
     counts = {r["slot"]: r["n"] for r in texts.where("slot is not null").groupBy("slot").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n = sum(counts.values()) + k
-    prior = _numbers(np.log(np.array([counts.get(i, 0) + 1.0 for i in range(k)]) / n).tolist())
-    text_only = lambda w: F.zip_with("ll", prior, lambda a, b: a * F.lit(w) + b)
-    held = texts.where("slot is not null").agg(*[F.avg(F.log(F.get(_softmax(text_only(w)), F.col("slot")))).alias(f"w{i}") for i, w in enumerate(WORDS)]).first()
-    words = max(range(len(WORDS)), key=lambda i: held[i] if held[i] is not None else float("-inf"))
-    own = _numbers([np.log(1 + trust / (1 - trust) * n / (counts.get(i, 0) + 1.0)) for i in range(k)])
-    told = F.when(F.col("slot").isNotNull(), F.get(own, F.col("slot")))
-    scores = F.transform(text_only(WORDS[words]), lambda x, i: x + F.when(F.coalesce(F.col("slot") == i, F.lit(False)), told).otherwise(F.lit(0.0)))
-    return texts.withColumn("p", _softmax(scores))
+    sizes = np.array([counts.get(i, 0) + 1.0 for i in range(k)])
+    prior = np.log(sizes / sizes.sum())
+    told = np.log(1 + trust / (1 - trust) * sizes.sum() / sizes)
+
+    def held_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(WORDS)), 0
+        for b in batches:
+            ll, slot = _matrix(b.column("ll"), k), b.column("slot").to_numpy()
+            n += len(slot)
+            for i, w in enumerate(WORDS):
+                total[i] += np.log(np.maximum(_softmax(prior + w * ll)[np.arange(len(slot)), slot], 1e-300)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(WORDS)), pa.int32()), pa.array(total)], names=["i", "log"])
+
+    known = texts.where("slot is not null").select("slot", "ll")
+    fit = {r["i"]: r["log"] for r in known.mapInArrow(held_out, "i INT, log DOUBLE").groupBy("i").agg(F.sum("log").alias("log")).collect()}
+    words = WORDS[max(range(len(WORDS)), key=lambda i: fit.get(i, 0.0))]
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = prior + words * _matrix(b.column("ll"), k)
+            slot = b.column("slot").to_numpy(zero_copy_only=False)
+            at = np.flatnonzero(b.column("slot").is_valid().to_numpy(zero_copy_only=False))
+            own = slot[at].astype(int)
+            scores[at, own] += told[own]
+            yield pa.RecordBatch.from_arrays([*b.columns, _lists(_softmax(scores))], names=[*b.schema.names, "p"])
+
+    return texts.mapInArrow(placed, texts.withColumn("p", F.array().cast("array<double>")).schema)
 
 
 def _rates(batch: pa.RecordBatch, k: int, start: float, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of a batch as a matrix, and its texts' rates after all steps so far."""
-    p, cap = batch.column("p").flatten().to_numpy(zero_copy_only=False).reshape(-1, k), batch.column("cap").to_numpy(zero_copy_only=False).astype(float)
+    p, cap = _matrix(batch.column("p"), k), batch.column("cap").to_numpy(zero_copy_only=False).astype(float)
     rate = cap * start
     for step in steps:
         rate = np.clip(rate + cap * (p @ step), 0.0, cap)
