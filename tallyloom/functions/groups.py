@@ -7,9 +7,12 @@ from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tallyloom.session import checkpointed
+
 
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) or [[] for _ in schema]
@@ -35,3 +38,10 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], f: Callable[[tu
         yield to_batch(rows, arrow)
 
     return placed.mapInArrow(run, out)
+
+
+def small(df: DataFrame, most: int) -> DataFrame:
+    """A table computed once and sent to all tasks of the join it is used in if it has at most ``most`` rows; a larger one
+    is joined by its keys."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= most else kept

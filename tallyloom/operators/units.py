@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,15 +11,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyloom.functions.groups import map_groups
-from tallyloom.functions.quantities import read_quantity
+from tallyloom.functions.groups import map_groups, small
+from tallyloom.functions.quantities import KINDS, read_quantity
 from tallyloom.functions.spelling import item_name
 from tallyloom.session import checkpointed
 
-#: Powers of ten by which a silent source may be off. Smaller steps are always stated beside the number.
-FACTORS = (0, 3, 6, 9)
-NEAR = 0.6
-PENALTY = 1.0
+#: Powers of ten by which a silent source of each kind may be off: none, or any that a source of the kind may state.
+FACTORS = {kind: tuple(sorted({0, *(power for _, power in words)})) for kind, words in KINDS.items()}
+#: How near a level must lie to a factor, in powers of ten; one between factors tells nothing.
+NEAR = 0.45
+#: What a change costs: for a feed, whose weeks hold many readings and some strays, as much as a few strays by a
+#: thousand; for one company's yearly counts as much as a shift by a tenfold.
+FEED_PENALTY, PENALTY = 20.0, 1.0
+#: The items that tell of a count: income over income per share.
+IMPLIED = {"weighted_diluted_shares": ("net_income", "eps_diluted")}
+#: Most rows of scales that are sent to all tasks; a larger table is joined by its keys.
+BROADCAST_ROWS = 200_000
 
 
 def changepoints(points: list[tuple[float, float]], penalty: float = PENALTY) -> list[int]:
@@ -46,9 +54,9 @@ def changepoints(points: list[tuple[float, float]], penalty: float = PENALTY) ->
     return starts[::-1]
 
 
-def _segments(points: list[tuple[float, float]]) -> list[tuple[int, int, float, float]]:
+def _segments(points: list[tuple[float, float]], penalty: float = PENALTY) -> list[tuple[int, int, float, float]]:
     """(from, to, level, weight) of each segment."""
-    starts = changepoints(points)
+    starts = changepoints(points, penalty)
     out = []
     for a, b in zip(starts, [*starts[1:], len(points)], strict=True):
         n = sum(p[1] for p in points[a:b])
@@ -56,8 +64,8 @@ def _segments(points: list[tuple[float, float]]) -> list[tuple[int, int, float,
     return out
 
 
-def _factor(off: float) -> int | None:
-    near = min(FACTORS, key=lambda f: abs(off - f))
+def _factor(off: float, kind: str) -> int | None:
+    near = min(FACTORS[kind], key=lambda f: abs(off - f))
     return near if abs(off - near) <= NEAR else None
 
 
@@ -79,16 +87,24 @@ def _weighted_median(counts: dict[float, int]) -> float:
 
 
 def _feed_powers(key: tuple, rows: list[tuple]) -> list[tuple]:
-    """Rows are (feed, kind, month, off, n): how far a feed's silent numbers lie under amounts known from others."""
-    months = sorted({r[2] for r in rows})
-    by_month = {m: [(r[3] / 10, r[4]) for r in rows if r[2] == m] for m in months}
-    # One point a month, at its commonest offset, so that stray rows do not drag a level between two factors.
-    points = [(max(by_month[m], key=lambda p: (p[1], -abs(p[0])))[0], float(sum(n for _, n in by_month[m]))) for m in months]
+    """Rows are (feed, kind, week, off, n): how far the logs of a feed's silent numbers lie under the levels that others
+    state for the same company, item and year. (feed, kind, after, until, power) of each segment of its weeks; the power is
+    NULL where the segment's level is near no factor."""
+    weeks = [(week, list(group)) for week, group in groupby(rows, key=lambda r: r[2])]
+    points = []
+    for _, group in weeks:
+        n = sum(r[4] for r in group)
+        points.append((sum(r[3] * r[4] for r in group) / n / 10, float(n)))
     out, before = [], None
-    for a, b, level, _ in _segments(points):
-        out.append((*key, before, months[b - 1], _factor(level) or 0))
-        before = months[b - 1]
-    return [(*r[:3], r[3] if i < len(out) - 1 else None, r[4]) for i, r in enumerate(out)]
+    segments = _segments(points, FEED_PENALTY)
+    for a, b, *_ in segments:
+        counts: dict[float, int] = {}
+        for r in (r for _, group in weeks[a:b] for r in group):
+            counts[r[3] / 10] = counts.get(r[3] / 10, 0) + r[4]
+        until = weeks[b - 1][0] if b < len(weeks) else None
+        out.append((*key, before, until, _factor(_weighted_median(counts), key[1])))
+        before = until
+    return out
 
 
 def _count_powers(key: tuple, rows: list[tuple]) -> list[tuple]:
@@ -108,7 +124,7 @@ def _count_powers(key: tuple, rows: list[tuple]) -> list[tuple]:
     for a, b, level, _ in segments:
         years = {y for y, *_ in silent[a:b]}
         here = next((v for said in (1, 2) if (v := [known[said][y] for y in years if y in known[said]])), everywhere)
-        power = _factor((_median(here) if here else top) - level) or 0
+        power = _factor((_median(here) if here else top) - level, "shares")
         out += [(*key, year, round(value * 10), power) for year, value, _ in silent[a:b]]
     return out
 
@@ -123,9 +139,9 @@ def stated(lines: DataFrame, specs: DataFrame) -> DataFrame:
     spec = specs.select(item_name("item_key").alias("item"), F.col("unit").alias("kind")).dropDuplicates(["item"])
     rows = lines.select(
         "obs_id", F.coalesce("cik", F.lit(-1)).alias("cik"), item_name("item_key").alias("item"), F.coalesce("fiscal_year", F.lit(-1)).alias("year"), F.coalesce("feed", F.lit("")).alias("feed"),
-        F.coalesce(F.date_format("loaded_at", "yyyy-MM"), F.lit("")).alias("month"), "value", "value_text", "unit", "caption",
+        F.coalesce(F.date_format(F.date_trunc("week", "loaded_at"), "yyyy-MM-dd"), F.lit("")).alias("week"), "value", "value_text", "unit", "caption",
     )
-    kept = ["obs_id", "cik", "item", "year", "feed", "month", "kind"]
+    kept = ["obs_id", "cik", "item", "year", "feed", "week", "kind"]
     joined = rows.join(spec, "item", "left").select(*kept, "value", "value_text", "unit", "caption")
     out = T.StructType([joined.schema[c] for c in kept] + [T.StructField("number", T.DoubleType()), T.StructField("said", T.IntegerType())])
     arrow = to_arrow_schema(out)
@@ -140,53 +156,57 @@ def stated(lines: DataFrame, specs: DataFrame) -> DataFrame:
     return joined.mapInArrow(read, out).where(F.col("number").isNotNull())
 
 
-def scale_powers(lines: DataFrame, specs: DataFrame) -> DataFrame:
+def scale_powers(lines: DataFrame, specs: DataFrame, implied: dict[str, tuple[str, str]] | None = None) -> DataFrame:
     """``obs_id``, ``number`` and ``exp10``: number x 10^exp10 is the amount in the item's unit. One row per row with a number.
 
     A scale stated in the row holds. A silent row takes the scale of its source, found by segmenting the source's history
-    with an exact penalised changepoint search on log values: for money, rates and per-share amounts the source is the feed,
-    its points the offsets from amounts that other rows state for the same company, item and year; for counts it is
-    the company, whose own filing scale may change from year to year, its levels held against stated counts and those
-    implied by income over income per share. Level shifts that match a known factor are unit changes.
+    of log values with an exact penalised changepoint search: for money, rates and per-share amounts the source is the
+    feed, whose values are taken relative to the level that other rows state for the same company, item and year, as its
+    rows are of companies of all sizes; for counts it is the company, whose own filing scale may change from year to year,
+    its levels held against stated counts and those ``implied`` by one item over another. Levels that lie by a factor of
+    the kind from the known ones are unit changes.
 
-    Both histories are histograms (a row for each month or year and tenth of log10) made by partial aggregation, so a
+    Both histories are histograms (a row for each week or year and tenth of log10) made by partial aggregation, so a
     source's length is bounded by calendar and number range, however many rows it has. NULL keys are keys of their own;
-    a source without any evidence counts as unscaled. Rows without a number are left out.
+    a source without any evidence counts as unscaled, one whose level is near no factor has a NULL ``exp10``. Rows without
+    a number are left out.
     """
+    implied = IMPLIED if implied is None else implied
     rows = checkpointed(stated(lines, specs))
     level = F.log10(F.abs("number"))
-    usable = rows.where((F.col("number") != 0) & (F.abs("number") < 1e300) & F.col("kind").isNotNull())
+    usable = rows.where((F.col("number") != 0) & (F.abs("number") < 1e300) & F.col("kind").isin(*KINDS))
     keys = ["cik", "item", "year"]
 
     told = usable.where(F.col("said").isNotNull()).groupBy(*keys, _tenths(level + F.col("said")).alias("amount")).agg(F.count(F.lit(1)).alias("n"))
     reference = told.groupBy(*keys).agg(F.max_by("amount", F.struct("n", "amount")).alias("amount"))
 
     quiet = usable.where(F.col("said").isNull())
-    by_feed = quiet.where(F.col("kind") != "shares").groupBy("feed", "kind", "month", *keys, _tenths(level).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    offsets = by_feed.join(reference, keys).groupBy("feed", "kind", "month", (F.col("amount") - F.col("level")).alias("off")).agg(F.sum("n").alias("n"))
-    feeds = map_groups(offsets, ["feed", "kind"], ["month", "off"], _feed_powers, "feed STRING, kind STRING, after STRING, until STRING, power INT")
+    by_feed = quiet.where(F.col("kind") != "shares").groupBy("feed", "kind", "week", *keys, _tenths(level).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    offsets = by_feed.join(reference, keys).groupBy("feed", "kind", "week", (F.col("amount") - F.col("level")).alias("off")).agg(F.sum("n").alias("n"))
+    feeds = map_groups(offsets, ["feed", "kind"], ["week", "off"], _feed_powers, "feed STRING, kind STRING, after STRING, until STRING, power INT")
 
     from_feed = rows.alias("r").join(
-        feeds.alias("f"),
+        small(feeds, BROADCAST_ROWS).alias("f"),
         (F.col("r.feed") == F.col("f.feed"))
         & (F.col("r.kind") == F.col("f.kind"))
-        & (F.col("f.after").isNull() | (F.col("r.month") > F.col("f.after")))
-        & (F.col("f.until").isNull() | (F.col("r.month") <= F.col("f.until"))),
+        & (F.col("f.after").isNull() | (F.col("r.week") > F.col("f.after")))
+        & (F.col("f.until").isNull() | (F.col("r.week") <= F.col("f.until"))),
         "left",
-    ).select("r.*", F.coalesce("r.said", "f.power").alias("known"))
+    ).select("r.*", F.coalesce("r.said", "f.power").alias("known"), (F.col("r.said").isNull() & F.col("f.feed").isNotNull() & F.col("f.power").isNull()).alias("unclear"))
 
     counts = usable.where(F.col("kind") == "shares")
-    tally = counts.groupBy(*keys, _tenths(level + F.coalesce("said", F.lit(0))).alias("level"), F.when(F.col("said").isNull(), 0).otherwise(1).alias("told")).agg(F.count(F.lit(1)).alias("n"))
+    histories = counts.groupBy(*keys, _tenths(level + F.coalesce("said", F.lit(0))).alias("level"), F.when(F.col("said").isNull(), 0).otherwise(1).alias("told")).agg(F.count(F.lit(1)).alias("n"))
     amount = F.log10(F.abs("number")) + F.col("known")
-    two = from_feed.where(F.col("item").isin("net_income", "eps_diluted") & F.col("known").isNotNull() & (F.col("number") != 0) & (F.abs("number") < 1e300))
-    ends = two.groupBy("cik", "year").agg(F.avg(F.when(F.col("item") == "net_income", amount)).alias("a"), F.avg(F.when(F.col("item") == "eps_diluted", amount)).alias("b"))
-    implied = ends.where("a is not null and b is not null").select("cik", F.lit("weighted_diluted_shares").alias("item"), "year", _tenths(F.col("a") - F.col("b")).alias("level"), F.lit(2).alias("told"), F.lit(1).cast("bigint").alias("n"))
-    histories = tally.unionByName(implied)
+    for count, (whole, each) in implied.items():
+        two = from_feed.where(F.col("item").isin(whole, each) & F.col("known").isNotNull() & (F.col("number") != 0) & (F.abs("number") < 1e300))
+        ends = two.groupBy("cik", "year").agg(F.avg(F.when(F.col("item") == whole, amount)).alias("a"), F.avg(F.when(F.col("item") == each, amount)).alias("b"))
+        ratio = ends.where("a is not null and b is not null").select("cik", F.lit(count).alias("item"), "year", _tenths(F.col("a") - F.col("b")).alias("level"), F.lit(2).alias("told"), F.lit(1).cast("bigint").alias("n"))
+        histories = histories.unionByName(ratio)
     companies = map_groups(histories, ["cik", "item"], ["year", "level", "told"], _count_powers, "cik BIGINT, item STRING, year INT, level INT, power INT")
     silent_count = (F.col("kind") == "shares") & F.col("said").isNull() & (F.col("number") != 0)
-    key = F.when(silent_count, _tenths(level))
-    placed = from_feed.withColumn("level", key).join(companies.withColumnRenamed("power", "of_company"), [*keys, "level"], "left")
-    return placed.select("obs_id", "number", F.coalesce("known", "of_company", F.lit(0)).cast("int").alias("exp10"))
+    placed = from_feed.withColumn("level", F.when(silent_count, _tenths(level))).join(companies.select(*keys, "level", F.col("power").alias("of_company"), F.lit(True).alias("found")), [*keys, "level"], "left")
+    unclear = F.col("unclear") | (F.col("found").isNotNull() & F.col("of_company").isNull())
+    return placed.select("obs_id", "number", F.when(~unclear, F.coalesce("known", "of_company", F.lit(0))).cast("int").alias("exp10"))
 
 
 def in_common_units(lines: DataFrame, specs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from tallyloom.functions.quantities import caption_power, read_quantity, text_nu
 from tallyloom.functions.spelling import item_name, iso_text, tag_name, unit_name
 from tallyloom.operators.ledger import _Sweep, resolved_value_ledger
 from tallyloom.operators.nested import TABLES, emit_tagged, read_table, with_schema, write_tagged
+from tallyloom.operators import units
 from tallyloom.operators.units import changepoints, in_common_units, scale_powers
 
 RESOLVED = "snapshot_id BIGINT, cik BIGINT, segment_id BIGINT, item_key STRING, period_end STRING, value DOUBLE, tag STRING, filed STRING, fiscal_year INT, restated BOOLEAN, loaded_at TIMESTAMP_NTZ"
@@ -152,3 +153,35 @@ def test_results_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(rows, RESOLVED)
     results = [sorted(map(str, resolved_value_ledger(df.repartition(n)).collect())) for n in (1, 7)]
     assert results[0] == results[1]
+
+
+def test_a_feed_that_changes_its_unit(spark):
+    """A silent feed goes from dollars to thousands, then to lakh, within its history: each stretch gets its own power."""
+    rows, want = [], {}
+    for day in range(0, 900, 3):
+        at, cik = dt.datetime(2016, 1, 4) + dt.timedelta(days=day), day % 40
+        amount = 1_000_000.0 * (cik + 3)
+        power = 0 if day < 300 else 3 if day < 600 else 5
+        rows.append((len(rows), cik, "revenue", None, None, 2015, "plain", amount, None, "USD", "whole dollars", at))
+        if day % 7:  # not in the weeks of a change
+            want[len(rows)] = power
+        rows.append((len(rows), cik, "revenue", None, None, 2015, "shifty", amount / 10**power, None, None, None, at))
+    specs = spark.createDataFrame([("revenue", "USD")], "item_key STRING, unit STRING")
+    got = {r["obs_id"]: r["exp10"] for r in scale_powers(spark.createDataFrame(rows, LINES), specs).collect()}
+    assert sum(got[i] != p for i, p in want.items()) <= 4  # a week that holds a change goes to one side
+
+
+def test_the_search_decides_within_a_feed(monkeypatch):
+    rows = [("f", "USD", f"2016-{w:03}", 0 if w < 30 else 30, 9) for w in range(70)]
+    both = units._feed_powers(("f", "USD"), rows)
+    assert both == [("f", "USD", None, "2016-029", 0), ("f", "USD", "2016-029", None, 3)]
+    monkeypatch.setattr(units, "changepoints", lambda points, penalty: [0])
+    assert units._feed_powers(("f", "USD"), rows) == [("f", "USD", None, None, 3)]
+
+
+def test_a_level_between_factors_tells_nothing():
+    rows = [("f", "USD", "2016-001", 15, 9)]
+    assert units._feed_powers(("f", "USD"), rows) == [("f", "USD", None, None, None)]
+    strays = [("f", "USD", f"2016-{w:03}", off, n) for w in range(20) for off, n in ((0, 9), (30, 1))]
+    assert [r[-1] for r in units._feed_powers(("f", "USD"), strays)] == [0]
+    assert units.FACTORS["USD"] == (-2, 0, 3, 5, 6, 7, 9) and units.FACTORS["pure"] == (-4, -3, -2, 0)
