@@ -15,7 +15,7 @@ from tallyloom.llm.mixing import fit_mix, fit_rates, mix, shares_reached
 from tallyloom.llm.pagefeatures import NAMES, VOTES, page
 from tallyloom.llm.places import natural_places
 from tallyloom.llm.spam import spam_scores, stuffed_pages, weak_label
-from tallyloom.llm.survivors import duplicate_survivors, keyed, learned_precedence, survivors
+from tallyloom.llm.survivors import duplicate_survivors, keyed, learned_precedence, states, survivors
 
 DOCS = "doc_id BIGINT, text STRING, source STRING, settings_id STRING"
 
@@ -133,13 +133,22 @@ def test_undated_rows_follow_learned_precedence(spark):
         rows += [(2 * i, i, 1, "T", "USD", None, "2015-12-31", 1.0, 2015, "FY", "10-K", "2016-01-01", None), (2 * i + 1, i, 1, "T", "USD", None, "2015-12-31", 2.0, 2015, "FY", "10-K/A", "2016-02-01", None)]
     rows += [(900, 99, 1, "T", "USD", None, "2015-12-31", 7.0, 2014, "FY", "10-K/A", None, None), (901, 99, 1, "T", "USD", None, "2015-12-31", 8.0, 2013, "FY", "10-K", "n/a", None)]
     df = spark.createDataFrame(rows, ENTRY)
-    ranks = {r["state"]: r["rank"] for r in learned_precedence(keyed(df)).collect()}
-    assert ranks["10-K/A|FY"] > ranks["10-K|FY"]
+    assert learned_precedence(states(keyed(df)))["form"] == {"10-K": set(), "10-K/A": {"10-K"}}
     got = survivors(df).where("cik = 99").first()
     assert (got["val_entry_id"], got["fy_entry_id"], got["val_undated"]) == (900, 901, True)
     assert duplicate_survivors(df).where("group_id = 900").first()[1:] == (901, 900)
 
 
+def test_undated_rows_follow_values_of_years(spark):
+    """Later filings give later fiscal years to the same fact; an undated row with a later year is the more current."""
+    rows = []
+    for i in range(12):
+        rows += [(3 * i + j, i, 1, "T", "USD", None, "2015-12-31", 1.0, 2015 + j, "FY", "10-K", f"201{6 + j}-02-01", None) for j in range(3)]
+    rows += [(901, 99, 1, "T", "USD", None, "2010-12-31", 7.0, 2012, "FY", "10-K", None, None), (902, 99, 1, "T", "USD", None, "2010-12-31", 8.0, 2010, "FY", "10-K", "n/a", None)]
+    got = survivors(spark.createDataFrame(rows, ENTRY)).where("cik = 99").first()
+    assert (got["val_entry_id"], got["val"], got["fy_entry_id"]) == (901, 7.0, 902)
+
+
 def _corpus(spark, n=240):
     rnd = random.Random(3)
     kinds = {"risk": "loss failure dispute penalty regulator", "review": "revenue margin growth demand price", "tiny": "auditor opinion letter report firm"}
