@@ -34,16 +34,18 @@ def _cut(text: str, low: int, high: int, offsets: list[int], strength: list[int]
     return min(choices, key=lambda c: abs(c - mid)) if choices else mid
 
 
-def split_text(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of the pieces of a text over ``target`` tokens; a smaller one is one piece.
+def bisected(text: str, target: int, overlap: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """The places a text over ``target`` tokens is bisected over, as (offset, strength), and the (start, end) of its pieces;
+    a smaller one has no such places and is one piece.
 
     Recursive bisection: a range over the limit less the overlap is cut at the strongest natural place near its middle,
-    or at the nearest one, each part likewise; only a stretch without any is cut within. Then each piece but the first is begun about ``overlap`` tokens earlier, at a natural place or a
-    blank. No piece exceeds the limit and every code point lies in one. An overlap over half the limit counts as half.
+    or at the nearest one, each part likewise; only a stretch without any is cut within. Then each piece but the first is
+    begun about ``overlap`` tokens earlier, at a natural place or a blank. No piece exceeds the limit and every code point
+    lies in one. An overlap over half the limit counts as half.
     """
     most = CHARS * target + CHARS - 1
     if len(text) // CHARS <= target or target <= 0:
-        return [(0, len(text))]
+        return [], [(0, len(text))]
     shared = max(0, min(CHARS * overlap, most // 2))
     limit = max(1, most - shared)
     places = natural_places(text)
@@ -67,7 +69,11 @@ def split_text(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
                 blank = next((i + 1 for i in range(begin, low) if text[i].isspace()), begin)
                 begin = blank if blank < low else begin
         out.append((min(low, max(begin, out[-1][0] + 1)), high))
-    return out
+    return places, out
+
+
+def split_text(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
+    return bisected(text, target, overlap)[1]
 
 
 def with_limits(docs: DataFrame, settings: DataFrame) -> DataFrame:
@@ -98,23 +104,34 @@ def _per_text(df: DataFrame, f, schema: T.StructType) -> DataFrame:
     return df.select("doc_id", "text", "target", "overlap").mapInArrow(run, schema)
 
 
+def visited(docs: DataFrame, texts: bool = True) -> DataFrame:
+    """One visit of each text of ``with_limits``: (``doc_id``, ``piece``, ``start_char``, ``end_char``,
+    ``strength``, ``text``). A place that the text is bisected over has its ``strength`` and no ``piece``; a piece has its
+    number, its end and, if ``texts`` are asked for, its text. A NULL text is one piece without a text."""
+    types = {"doc_id": T.LongType(), "piece": T.IntegerType(), "start_char": T.LongType(), "end_char": T.LongType(), "strength": T.IntegerType(), "text": T.StringType()}
+    schema = T.StructType([T.StructField(c, t) for c, t in types.items()])
+
+    def rows(text: str | None, target: int, overlap: int) -> Iterator[tuple]:
+        if text is None:
+            yield (0, 0, 0, None, None)
+            return
+        places, pieces = bisected(text, target, overlap)
+        for at, strength in places:
+            yield (None, at, None, strength, None)
+        for i, (a, b) in enumerate(pieces):
+            yield (i, a, b, None, text[a:b] if texts else None)
+
+    return _per_text(docs, rows, schema)
+
+
 def cut_places(docs: DataFrame, settings: DataFrame) -> DataFrame:
-    """(``doc_id``, ``start_char``, ``strength``): the natural places of every document over its limit. A NULL or empty text has none."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start_char", T.LongType()), T.StructField("strength", T.IntegerType())])
-    return _per_text(_oversized(docs, settings), lambda text, *_: natural_places(text), schema)
+    """(``doc_id``, ``start_char``, ``strength``): the natural places that every document over its limit is bisected over. A
+    NULL or empty text has none."""
+    return visited(_oversized(docs, settings), texts=False).where("piece is null").select("doc_id", "start_char", "strength")
 
 
 def split_oversized(docs: DataFrame, settings: DataFrame) -> DataFrame:
     """(``doc_id``, ``piece``, ``start_char``, ``end_char``, ``text``): the pieces of every document, one piece where it
     is within its limit; a NULL or empty text gives one piece with that text. Work is per text, inside tasks, without a
     shuffle; repeated rows give repeated pieces."""
-    schema = T.StructType([T.StructField(c, t) for c, t in (("doc_id", T.LongType()), ("piece", T.IntegerType()), ("start_char", T.LongType()), ("end_char", T.LongType()), ("text", T.StringType()))])
-
-    def pieces(text: str | None, target: int, overlap: int) -> Iterator[tuple]:
-        if text is None:
-            yield (0, 0, 0, None)
-            return
-        for i, (a, b) in enumerate(split_text(text, target, overlap)):
-            yield (i, a, b, text[a:b])
-
-    return _per_text(with_limits(docs, settings), pieces, schema)
+    return visited(with_limits(docs, settings)).where("piece is not null").drop("strength")
