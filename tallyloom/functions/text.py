@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,17 +90,76 @@ def pack(sents: Column, target: int, overlap: int) -> Column:
     return F.aggregate(indexed, empty, step, lambda acc: acc["out"])
 
 
-def sections(docs: DataFrame, heading: str, boundary: str) -> DataFrame:
-    """(``doc_id``, ``start``, ``span``, ``section``): the longest stretch from a heading line to the next boundary line
-    after it, or the end. Lines are compared as a whole; the first heading wins a tie. One pass and one window per document."""
-    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    size = F.length("line") + 1
-    at = lines.withColumn("at", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0)) - size).withColumn("whole", F.sum(size).over(Window.partitionBy("doc_id")) - 1)
-    bound = F.when(F.col("line").rlike(boundary), F.col("at"))
-    after = F.min(bound).over(w.rowsBetween(1, Window.unboundedFollowing))
-    found = at.withColumn("stop", F.coalesce(after, "whole")).where(F.col("line").rlike(heading))
-    best = found.groupBy("doc_id").agg(F.max_by(F.struct("at", "stop"), F.struct((F.col("stop") - F.col("at")).alias("n"), (-F.col("at")).alias("a"))).alias("b"))
-    cut = best.join(docs.select("doc_id", "text"), "doc_id")
-    text = F.trim(F.regexp_replace(F.substring("text", F.col("b.at").cast("int") + 1, (F.col("b.stop") - F.col("b.at")).cast("int")), r"\s+", " "))
-    return cut.select("doc_id", F.col("b.at").alias("start"), (F.col("b.stop") - F.col("b.at")).alias("span"), text.alias("section"))
+#: At the start of a line.
+AT_LINE = r"(?<![^\n])"
+
+
+def longest_section(text: Column, heading: str, boundary: str) -> Column:
+    """(``start``, ``span``) of the longest stretch from a heading to the next boundary after it, or the end; NULL where the
+    text has no heading. Both are patterns at the start of a line, and may run over several lines; the first heading wins
+    a tie. One split and one fold over its parts, inside the JVM."""
+    parts = F.split(text, rf"(?={AT_LINE}(?:{heading}|{boundary}))", -1)
+    # A heading over two lines may hold another on its second, which begins the next part.
+    joined = F.zip_with(parts, F.slice(parts, 2, F.size(parts)), lambda p, after: F.struct(F.length(p).cast("bigint").alias("n"), F.concat(p, F.coalesce(after, F.lit(""))).alias("t")))
+    marks = F.transform(joined, lambda p: F.struct(p["n"].alias("n"), p["t"].rlike(rf"\A(?:{heading})").alias("h"), p["t"].rlike(rf"\A(?:{boundary})").alias("b")))
+    none, zero = F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")
+    empty = F.struct(zero.alias("at"), none.alias("open"), none.alias("start"), none.alias("span"))
+
+    def closed(acc: Column) -> tuple[Column, Column]:
+        longer = (acc["open"] >= 0) & (acc["at"] - acc["open"] > acc["span"])
+        return F.when(longer, acc["open"]).otherwise(acc["start"]), F.when(longer, acc["at"] - acc["open"]).otherwise(acc["span"])
+
+    def step(acc: Column, x: Column) -> Column:
+        # Of the headings before one boundary the first has the longest stretch, so only it is kept open.
+        start, span = closed(acc)
+        left = F.when(x["b"], none).otherwise(acc["open"])
+        opened = F.when(x["h"] & (left < 0), acc["at"]).otherwise(left)
+        return F.struct((acc["at"] + x["n"]).alias("at"), opened.alias("open"), F.when(x["b"], start).otherwise(acc["start"]).alias("start"), F.when(x["b"], span).otherwise(acc["span"]).alias("span"))
+
+    def finish(acc: Column) -> Column:
+        start, span = closed(acc)
+        return F.when(start >= 0, F.struct(start.alias("start"), span.alias("span")))
+
+    return F.aggregate(marks, empty, step, finish)
+
+
+def section_text(text: Column, found: Column, blank: str = r"\s+") -> Column:
+    """The text of a section with its white space collapsed."""
+    return F.trim(F.regexp_replace(F.substring(text, found["start"].cast("int") + 1, found["span"].cast("int")), blank, " "))
+
+
+# Fixed values: (key, label, number of the item, start of its title, its bare title), and of the items that end it.
+SECTIONS = [
+    (
+        "item1a", "Item 1A. Risk Factors", "1a", r"risk\s+factors", r"risk\s+factors",
+        [("1b", r"unresolved\s+staff\s+comments", r"unresolved\s+staff\s+comments"), ("2", "properties", "properties")],
+    ),
+    (
+        "item7", "Item 7. Management's Discussion and Analysis", "7", r"management.?s?\s+discussion",
+        r"management.?s?\s+discussion\s+and\s+analysis(?:\s+of\s+financial\s+condition\s+and\s+results\s+of\s+operations)?",
+        [("7a", "quantitative", r"quantitative\s+and\s+qualitative[^\n]*"), ("8", r"financial\s+statements", r"financial\s+statements\s+and\s+supplementary\s+data")],
+    ),
+]
+
+
+def _headed(number: str, title: str, bare: str) -> str:
+    """Either ``Item <n>. <title>``, or the bare title as a line of its own; any case, Unicode blanks."""
+    return rf"(?iuU:item\s*{number}\.?:?\s*{title}|[ \t]*{bare}[ \t]*(?=\n|\z))"
+
+
+def filing_chunks(filings: DataFrame, key: str, text: str, target_tokens: int, overlap_tokens: int) -> DataFrame:
+    """(key, ``section``, ``chunk_id``, ``chunk``): the chunks of the sections 1A and 7 of each filing's cleaned text.
+
+    Sentences of a section are packed to about the target, each chunk begun with the section's label; ids are the
+    section's key and the chunk's number. A section that is not found gives no rows. All work is within the row."""
+    filings = filings.select(key, F.col(text).alias("filing_text"))
+    text = "filing_text"
+    found = [
+        F.struct(F.lit(name).alias("name"), F.lit(label).alias("label"), longest_section(F.col(text), _headed(n, title, bare), "|".join(_headed(*b) for b in bounds)).alias("at"))
+        for name, label, n, title, bare, bounds in SECTIONS
+    ]
+    each = filings.select(key, text, F.explode(F.array(*found)).alias("f")).where("f.at is not null")
+    each = each.select(key, F.struct("f.name", "f.label", section_text(F.col(text), F.col("f.at"), r"(?U)\s+").alias("body")).alias("s"))
+    packed = pack(sentences(F.col("s.body")), max(4 * target_tokens, 1), max(4 * overlap_tokens, 0))
+    rows = each.select(key, "s.name", "s.label", F.posexplode(packed).alias("pos", "body"))
+    return rows.select(key, F.col("label").alias("section"), F.concat("name", F.lit("-"), F.lpad(F.col("pos").cast("string"), 4, "0")).alias("chunk_id"), F.trim(F.concat("label", F.lit(" "), "body")).alias("chunk"))

@@ -14,18 +14,24 @@ def escape_cell(text: Column) -> Column:
 
 
 def address(column: Column, row: Column) -> Column:
-    """The address of a cell in the first 26 columns, counted from 1."""
-    return F.concat(F.char(F.lit(64) + column), row.cast("string"))
+    """The address of a cell, its column counted from 1: one letter to Z, two to ZZ; NULL beyond."""
+    high, low = F.floor((column - 1) / 26).cast("int"), (column - 1) % 26
+    letters = F.when(column <= 26, F.char(65 + low)).when(column <= 702, F.concat(F.char(64 + high), F.char(65 + low)))
+    return F.concat(letters, row.cast("string"))
 
 
 def quote_sheet(name: Column) -> Column:
     return F.when(name.rlike(r"[ -]"), F.concat(F.lit("'"), name, F.lit("'"))).otherwise(name)
 
 
-def statement_sheet(grid: DataFrame, keys: list[str], column: str, columns: list[int], value: str) -> DataFrame:
-    """Long cells to one row per key and a text column per year; a missing value reads ``n/r``."""
-    cells = [F.coalesce(F.max(F.when(F.col(column) == y, F.col(value))).cast("string"), F.lit(NOT_REPORTED)).alias(f"y{y}") for y in columns]
-    return grid.groupBy(*keys).agg(*cells)
+def statement_sheet(grid: DataFrame, keys: list[str], entity: list[str], column: str, width: int, value: str) -> DataFrame:
+    """Long cells to one row per key: ``years``, the values of ``column`` that the entity's sheet shows, and a text column
+    for each, ``v1`` the first; a missing value reads ``n/r``. ``width``: how many an entity has at most, as chosen when
+    the grid was made. The years are an array of that many, not a fixed list."""
+    shown = grid.groupBy(*entity).agg(F.array_sort(F.collect_set(column)).alias("shown"))
+    placed = grid.join(shown, entity).withColumn("place", F.array_position("shown", F.col(column)))
+    cells = [F.coalesce(F.max(F.when(F.col("place") == i, F.col(value))).cast("string"), F.lit(NOT_REPORTED)).alias(f"v{i}") for i in range(1, width + 1)]
+    return placed.groupBy(*keys).agg(F.array_join(F.first("shown"), ",").alias("years"), *cells)
 
 
 def commentary_rows(items: DataFrame, citations: DataFrame, key: str, order: str) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -15,7 +15,8 @@ from tallyloom.functions.groups import to_batch
 
 TAGGED = T.StructType([T.StructField(c, T.StringType()) for c in ("table", "key", "parent", "payload")])
 
-#: The schema that each table's payload gets. ``val_text`` keeps a value that is no number as it was written.
+#: The schema that each table's payload gets. ``val_text`` keeps a value as it was written that is
+#: no number, not finite, or a whole number that ``val`` can't hold to the digit.
 TABLES = {
     "file": "file_id BIGINT, row_cik BIGINT, cik STRING, entity_name STRING, status STRING",
     "tag": "file_id BIGINT, taxonomy STRING, tag STRING, label STRING, description STRING",
@@ -127,9 +128,11 @@ class _Visitor:
                     self.emit("entry", under, str(pos), ids | {"unit": unit, "pos": pos} | self._entry(e))
 
     def _entry(self, e: dict) -> dict:
-        val = _number(e.get("val"))
+        raw = e.get("val")
+        val = _number(raw)
+        plain = val is not None and abs(val) < 1e308 and (not isinstance(raw, int) or abs(raw) <= 2**53)  # NaN and infinities are not
         out = {c: _text(e.get(c)) for c in ("start", "end", "fp", "form", "filed", "frame", "segments")}
-        return out | {"val": val if val is None or abs(val) < 1e308 else None, "val_text": None if val is not None else _text(e.get("val")), "fy": _whole(e.get("fy"))}
+        return out | {"val": val if val is not None and abs(val) < 1e308 else None, "val_text": None if plain else _text(raw), "fy": _whole(e.get("fy"))}
 
 
 def emit_tagged(files: DataFrame) -> DataFrame:
@@ -173,9 +176,3 @@ def write_tagged(tagged: DataFrame, path: str) -> str:
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """One flat table of what ``write_tagged`` wrote; only its partition is read."""
     return with_schema(spark.read.schema(TAGGED).parquet(path), name)
-
-
-def child_counts(parent: DataFrame, child: DataFrame, key: Column | str = "key") -> DataFrame:
-    """Each parent row with its number of children: a check that links hold."""
-    n = child.groupBy(F.col("parent").alias("key")).agg(F.count(F.lit(1)).alias("n_children"))
-    return parent.join(n, key, "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))

@@ -18,9 +18,21 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 FUSION_K, POOL, FINAL = 60, 18, 6
 
 
-def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(``doc_id``, ``term``, ``tf``)."""
-    return docs.select("doc_id", F.explode(words(F.col(text))).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+def _said(docs: DataFrame, text: str, wanted: DataFrame | None) -> DataFrame:
+    """(``doc_id``, ``term``) of every word; with ``wanted`` (``term``, of stated queries) of those words only, which are
+    kept where the text is read, before anything is counted or shuffled."""
+    said = docs.select("doc_id", F.explode(words(F.col(text))).alias("term"))
+    return said if wanted is None else said.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+
+
+def term_counts(docs: DataFrame, text: str = "text", wanted: DataFrame | None = None) -> DataFrame:
+    """(``doc_id``, ``term``, ``tf``), of the ``wanted`` terms if there are any stated."""
+    return _said(docs, text, wanted).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def known_terms(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """The ``wanted`` terms that occur in any text."""
+    return _said(docs, text, wanted).select("term").distinct()
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -26,6 +26,17 @@ def first_insert(runs: DataFrame, keys: list[str], order: list[str], columns: li
     return runs.groupBy(*keys).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
+def ranked(rows: DataFrame, key: str, bucket: Column, order: list[str], name: str = "n") -> DataFrame:
+    """``rows`` with their place within the key, from 1. ``bucket`` rises with the order, so a key that holds much of the
+    table is ranked bucket by bucket, in as many tasks; the buckets' sizes alone are summed up per key."""
+    placed = rows.withColumn("bucket", bucket)
+    sizes = placed.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("size"))
+    before = F.sum("size").over(Window.partitionBy(key).orderBy("bucket")) - F.col("size")
+    starts = sizes.select(key, "bucket", before.alias("before"))
+    inner = F.row_number().over(Window.partitionBy(key, "bucket").orderBy(*order))
+    return placed.withColumn("inner", inner).join(starts, [key, "bucket"]).withColumn(name, F.col("before") + F.col("inner")).drop("inner", "before", "bucket")
+
+
 def streaks(events: DataFrame, key: str, order: list[str], failed: Column, ignored: Column | None = None, bucket: Column | None = None) -> DataFrame:
     """(key, ``length``) of every unbroken run of failures. Ignored rows neither add nor break; a NULL verdict is no failure; a
     NULL key is a key of its own.

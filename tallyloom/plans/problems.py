@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ledger import resolved_value_ledger
 from tallyloom.operators.nested import emit_tagged, read_table, write_tagged
 from tallyloom.operators.units import in_common_units, scale_powers
-from tallyloom.session import shared_dir, table
+from tallyloom.session import scratch_path, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +22,7 @@ def p2_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _flat(spark: SparkSession, sf_dir: str) -> str:
     """All tables of the payloads, written in one pass to the shared folder."""
-    return write_tagged(emit_tagged(table(spark, sf_dir, "companyfacts")), f"{shared_dir(spark)}/nested-{uuid.uuid4().hex}")
+    return write_tagged(emit_tagged(table(spark, sf_dir, "companyfacts")), scratch_path(spark, "nested"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

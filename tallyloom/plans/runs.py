@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators import runlog
 from tallyloom.operators.nested import emit_tagged, with_schema
 from tallyloom.session import table
-from tallyloom.sources.readers import cache_key, long_facts, padded_cik, resolve_ticker, source_url, ticker
+from tallyloom.sources.readers import cache_key, padded_cik, resolve_ticker, source_url, ticker
 from tallyloom.streaming.runs import event_stream, replay, terminal_states, windowed_counts
 
 
@@ -87,7 +87,9 @@ def q53_json_props(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q55_long_facts(spark: SparkSession, d: str) -> DataFrame:
-    return long_facts(table(spark, d, "companyfacts")).select("file_id", "tag", "unit", F.col("pos").cast("bigint").alias("pos"), "end", "val")
+    """Entries of one taxonomy in all layouts of the files."""
+    e = with_schema(emit_tagged(table(spark, d, "companyfacts")), "entry").where("taxonomy = 'us-gaap'")
+    return e.select("file_id", "tag", "unit", F.col("pos").cast("bigint").alias("pos"), "end", "val")
 
 
 def q56_files(spark: SparkSession, d: str) -> DataFrame:
@@ -113,10 +115,10 @@ def q63_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q64_annual_filings(spark: SparkSession, d: str) -> DataFrame:
-    """Each customer's first three annual filings, newest first; each task passes on three of a customer at most."""
-    w = Window.partitionBy("o_custkey").orderBy("age", "o_orderkey")
-    first = _annual(spark, d).withColumn("n", F.row_number().over(w)).where("n <= 3")
-    return first.select("o_custkey", F.col("n").cast("bigint").alias("n"), F.col("o_orderkey").alias("accession"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"))
+    """All annual filings of each customer, newest first; ranked month by month, so a customer may have any number."""
+    month = F.floor(F.col("age") / (30 * 86_400_000_000))
+    every = runlog.ranked(_annual(spark, d), "o_custkey", month, ["age", "o_orderkey"])
+    return every.select("o_custkey", F.col("n").cast("bigint").alias("n"), F.col("o_orderkey").alias("accession"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filed"))
 
 
 def q65_fingerprints(spark: SparkSession, d: str) -> DataFrame:
@@ -150,6 +152,6 @@ SELECT run_id, CASE WHEN x IS NULL OR x[1] > c + INTERVAL 7200 SECONDS THEN 'tim
     "q63_outcomes": """WITH d AS (SELECT cik, count(*) AS n_docs, bool_or(length(text) > 0) AS t FROM documents GROUP BY cik), v AS (SELECT cik, count(value) AS n FROM resolved_value GROUP BY cik)
 SELECT cik_str AS cik, CASE WHEN n IS NULL THEN 'does not report this item' WHEN ticker IS NULL THEN 'stopped after repeated failures' WHEN n = 0 THEN 'no value in any year' WHEN n_docs IS NULL THEN 'no passages retrieved' WHEN NOT coalesce(t, false) THEN 'failed twice' END AS reason
 FROM company LEFT JOIN d ON d.cik = cik_str LEFT JOIN v ON v.cik = cik_str""",
-    "q64_annual_filings": "SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n, o_orderkey AS accession, strftime(o_orderdate, '%Y-%m-%d') AS filed FROM orders WHERE o_orderstatus = 'F' QUALIFY n <= 3",
+    "q64_annual_filings": "SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS n, o_orderkey AS accession, strftime(o_orderdate, '%Y-%m-%d') AS filed FROM orders WHERE o_orderstatus = 'F'",
     "q65_fingerprints": "SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*)::BIGINT AS n_ids FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
 }

@@ -18,8 +18,6 @@ from tallyloom.operators.ratios import formula, ratio_grid
 from tallyloom.plans.sqlparts import ALL, FACTS, GRID, WIDE, YEARS, date, item, tolerance
 from tallyloom.session import checkpointed, table
 
-SHEET_YEARS = list(range(2010, 2020))
-
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
     """Resolved once and kept in the shared folder: years, grid and checks all come from it, the facts are read once."""
@@ -73,14 +71,19 @@ def q07_provenance_tags(spark: SparkSession, d: str) -> DataFrame:
     return fx.provenance(_grid(spark, d))
 
 
+def _derived(spark: SparkSession, d: str) -> DataFrame:
+    """The grid with liabilities derived where a company reports none. The dictionary has no liabilities-and-equity and no
+    minority interest: assets stand for the one, income attributable to the parent tells of the other."""
+    minority = st.has_minority(fx.normalised(table(spark, d, "fact_entry")), "netresultattributable")
+    return st.derive_total_liabilities(_grid(spark, d), minority, "equityofparent", "total_assets")
+
+
 def q08_derived_liabilities(spark: SparkSession, d: str) -> DataFrame:
-    g = _grid(spark, d)
-    parent = g.where("item_key = 'total_equity' and tag = 'equityofparent'").select("cik").distinct().withColumn("parent_only", F.lit(True))
-    return st.derive_total_liabilities(g, parent).where("item_key = 'total_liabilities'").select("cik", "fiscal_year", "value", "tag")
+    return _derived(spark, d).where("item_key = 'total_liabilities'").select("cik", "fiscal_year", "value", "tag")
 
 
 def q09_derived_gross_profit(spark: SparkSession, d: str) -> DataFrame:
-    g = st.derive(_grid(spark, d), "gross_profit", F.col("revenue") - F.col("cost_of_revenue"), ["revenue", "cost_of_revenue"])
+    g = st.derive(_grid(spark, d), "gross_profit", F.col("revenue") - F.col("cost_of_revenue"), "revenue-cost_of_revenue")
     return g.where("item_key = 'gross_profit'").select("cik", "fiscal_year", "value", "tag")
 
 
@@ -101,6 +104,18 @@ def q12_optional_term_identity(spark: SparkSession, d: str) -> DataFrame:
     return ids.checks(_optional(spark, d), KEYS).where(F.col("check") == "net_income_buildup")
 
 
+def q67_all_checks(spark: SparkSession, d: str) -> DataFrame:
+    """All checks of a derived grid, with items standing for those the dictionary lacks: the parts of operating expenses
+    for their sum, and three kinds of assets for liabilities-and-equity, so that a derived balance sheet is checked."""
+    w = ids.with_prior(st.wide(_derived(spark, d)), ["cik"], "fiscal_year", "cash_and_equivalents", "prior_cash")
+    c = F.col
+    w = w.withColumn("pretax_income", c("operating_income")).withColumn("noncontrolling_interest_in_income", c("interest_expense"))
+    w = w.withColumn("operating_expenses", c("research_development") + c("selling_marketing_expense") + c("general_administrative_expense"))
+    w = w.withColumn("total_liabilities_and_equity", c("total_current_assets") + c("ppe_net"))
+    derived = F.max(F.coalesce(c("tag_total_liabilities").startswith("derived:"), F.lit(False))).over(Window.partitionBy("cik"))
+    return ids.checks(w.withColumn("derived", derived), KEYS, c("derived"))
+
+
 def q13_insufficient_data(spark: SparkSession, d: str) -> DataFrame:
     return q10_identity_checks(spark, d).where(F.col("check") == "insufficient_data")
 
@@ -155,8 +170,10 @@ def q22_escape_cells(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q23_statement_sheet(spark: SparkSession, d: str) -> DataFrame:
-    g = _grid(spark, d).withColumn("v", F.col("value").cast("decimal(38,2)"))
-    return statement_sheet(g, ["cik", "item_key"], "fiscal_year", SHEET_YEARS, "v")
+    """Each company's sheets: its presented years are the columns, oldest first; a row per item of each statement."""
+    specs = table(spark, d, "tag_spec").select("item_key", "statement", "label")
+    g = _grid(spark, d).join(F.broadcast(specs), "item_key").withColumn("v", F.col("value").cast("decimal(38,2)"))
+    return statement_sheet(g, ["cik", "statement", "item_key", "label"], ["cik"], "fiscal_year", 5, "v")
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
@@ -181,7 +198,7 @@ def q25_commentary_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q41_directions(spark: SparkSession, d: str) -> DataFrame:
-    series = _grid(spark, d).where("item_key in ('revenue', 'net_income', 'total_assets') and value is not null")
+    series = _grid(spark, d).where("value is not null")
     return series_direction(series, ["cik", "item_key"], "fiscal_year", "value")
 
 
@@ -271,13 +288,30 @@ _FIGURES = f"{ALL}, fig AS (SELECT cik, item_key, fiscal_year, value, {_FIGURE}
 
 def _derived_sql(item_key: str, value: str, marker: str, barred: str = "false") -> str:
     return f"""{ALL}, absent AS (SELECT cik FROM grid WHERE item_key = '{item_key}' GROUP BY 1 HAVING count(value) = 0),
-n AS (SELECT cik, fiscal_year, CASE WHEN {barred} THEN NULL ELSE {value} END AS v FROM wide WHERE cik IN (SELECT cik FROM absent))
-SELECT g.cik, g.fiscal_year, coalesce(g.value, n.v) AS value, CASE WHEN n.v IS NOT NULL THEN 'derived:{marker}' ELSE g.tag END AS tag
-FROM grid g LEFT JOIN n ON n.cik = g.cik AND n.fiscal_year = g.fiscal_year WHERE item_key = '{item_key}'"""
+eq AS (SELECT cik, fiscal_year, tag AS equity_tag FROM grid WHERE item_key = 'total_equity'), mi AS (SELECT DISTINCT cik AS minority FROM facts WHERE tag = 'netresultattributable'),
+n AS (SELECT cik, fiscal_year, CASE WHEN {barred} THEN NULL ELSE {value} END AS v FROM wide JOIN eq USING (cik, fiscal_year) LEFT JOIN mi ON minority = cik WHERE cik IN (SELECT cik FROM absent)),
+dv AS (SELECT g.cik, g.item_key, g.fiscal_year, coalesce(g.value, CASE WHEN g.item_key = '{item_key}' THEN n.v END) AS value, CASE WHEN g.item_key = '{item_key}' AND n.v IS NOT NULL THEN 'derived:{marker}' ELSE g.tag END AS tag
+FROM grid g LEFT JOIN n ON n.cik = g.cik AND n.fiscal_year = g.fiscal_year)"""
 
 
-_PARENT = "cik IN (SELECT cik FROM grid WHERE item_key = 'total_equity' AND tag = 'equityofparent')"
-_SHEET = ", ".join(f"coalesce(max(CASE WHEN fiscal_year = {y} THEN value::DECIMAL(38, 2) END)::VARCHAR, 'n/r') AS y{y}" for y in SHEET_YEARS)
+_BARRED = "equity_tag = 'equityofparent' AND minority IS NOT NULL"
+_LIABILITIES = _derived_sql("total_liabilities", "total_assets - total_equity", "total_assets-total_equity", _BARRED)
+_BSI, _OP = ["total_assets", "lse"], ["operating_income", "gross_profit", "opex"]
+_SIX = " UNION ALL ".join(
+    [
+        _check_sql("balance_sheet_equation", "total_assets", "liabilities + total_equity", ["total_assets", "liabilities", "total_equity"], ["total_assets", "liabilities", "total_equity"], "(SELECT * FROM w6 WHERE NOT made_up)"),
+        _check_sql("balance_sheet_equation_independent", "total_assets", "lse", _BSI, _BSI, "(SELECT * FROM w6 WHERE made_up)"),
+        _check_sql("gross_profit_buildup", "gross_profit", "revenue - cost_of_revenue", _GP, _GP, "w6"),
+        _check_sql("operating_income_buildup", "operating_income", "gross_profit - opex", _OP, _OP, "w6"),
+        _check_sql("net_income_buildup", "net_income", "operating_income - income_tax_expense - coalesce(interest_expense, 0)", ["net_income", "operating_income", "income_tax_expense", "interest_expense"], ["net_income", "operating_income", "income_tax_expense"], "w6"),
+        _check_sql("cash_roll_forward", "cash_and_equivalents - prior_cash", "cfo + cfi + cff + coalesce(fx_effect_on_cash, 0)", [*_CASH, "fx_effect_on_cash"], _CASH, "w6"),
+    ]
+)
+_ALL_SIX = f"""{_LIABILITIES}, dw AS (SELECT cik, fiscal_year, max(value) AS liabilities, coalesce(max(tag) LIKE 'derived:%', false) AS here FROM dv WHERE item_key = 'total_liabilities' GROUP BY ALL),
+w6 AS (SELECT a.*, b.cash_and_equivalents AS prior_cash, liabilities, bool_or(here) OVER (PARTITION BY a.cik) AS made_up, a.research_development + a.selling_marketing_expense + a.general_administrative_expense AS opex, a.total_current_assets + a.ppe_net AS lse
+  FROM wide a JOIN dw ON dw.cik = a.cik AND dw.fiscal_year = a.fiscal_year LEFT JOIN wide b ON b.cik = a.cik AND b.fiscal_year = a.fiscal_year - 1),
+made AS ({_SIX}) SELECT * FROM made UNION ALL SELECT cik, fiscal_year, 'insufficient_data', NULL::DOUBLE, NULL::DOUBLE, 0.0::DOUBLE, false FROM w6 WHERE NOT EXISTS (SELECT 1 FROM made m WHERE m.cik = w6.cik AND m.fiscal_year = w6.fiscal_year)"""
+_SHEET = ", ".join(f"coalesce(max(CASE WHEN n = {i} THEN value::DECIMAL(38, 2) END)::VARCHAR, 'n/r') AS v{i}" for i in range(1, 6))
 _LOG = "abs(ln(s * {k}) - ln(implied))"
 
 SQL = {
@@ -288,8 +322,9 @@ SQL = {
     "q05_dense_grid": f"WITH {FACTS}, {YEARS}, {GRID} SELECT * FROM grid",
     "q06_period_semi_join": f'WITH {FACTS}, {YEARS} SELECT cik, item_key, "end", value FROM res SEMI JOIN (SELECT cik, "end" FROM yrs) USING (cik, "end")',
     "q07_provenance_tags": f"WITH {FACTS}, {YEARS}, {GRID}, t AS (SELECT cik, item_key, tag, min(fiscal_year) AS y FROM grid WHERE tag IS NOT NULL GROUP BY ALL) SELECT cik, item_key, string_agg(tag, ',' ORDER BY y, tag) AS tags FROM t GROUP BY ALL",
-    "q08_derived_liabilities": _derived_sql("total_liabilities", "coalesce(total_liabilities_and_equity, total_assets) - total_equity", "total_assets+total_equity", _PARENT),
-    "q09_derived_gross_profit": _derived_sql("gross_profit", "revenue - cost_of_revenue", "revenue+cost_of_revenue"),
+    "q08_derived_liabilities": f"{_LIABILITIES} SELECT cik, fiscal_year, value, tag FROM dv WHERE item_key = 'total_liabilities'",
+    "q09_derived_gross_profit": _derived_sql("gross_profit", "revenue - cost_of_revenue", "revenue-cost_of_revenue") + " SELECT cik, fiscal_year, value, tag FROM dv WHERE item_key = 'gross_profit'",
+    "q67_all_checks": _ALL_SIX,
     "q10_identity_checks": f"{_ALL_CHECKS} SELECT * FROM checks",
     "q11_cash_roll_forward": f"{_ALL_CHECKS} SELECT * FROM checks WHERE \"check\" = 'cash_roll_forward'",
     "q12_optional_term_identity": f"{ALL}, w AS (SELECT * FROM wide) "
@@ -311,13 +346,14 @@ SELECT cik, coalesce(scale, CASE WHEN l > 0 AND l < 1e6 THEN 1000000.0 ELSE 1.0
     "q21_parse_figures": f"""{_FIGURES} SELECT cik, item_key, fiscal_year, round(CASE WHEN figure LIKE '-%' THEN -1 ELSE 1 END * regexp_extract(replace(figure, ',', ''), '[0-9.]+')::DOUBLE
  * CASE WHEN figure LIKE '%K%' THEN 1e3 WHEN figure LIKE '%M%' THEN 1e6 WHEN figure LIKE '%B%' THEN 1e9 ELSE 1 END, 2) AS parsed FROM fig""",
     "q22_escape_cells": "SELECT obs_id, CASE WHEN regexp_matches(value_text, '^[=+\\-@\\t\\r]') THEN '''' || value_text ELSE value_text END AS cell FROM line_item",
-    "q23_statement_sheet": f"WITH {FACTS}, {YEARS}, {GRID} SELECT cik, item_key, {_SHEET} FROM grid GROUP BY ALL",
+    "q23_statement_sheet": f"""WITH {FACTS}, {YEARS}, {GRID}, n AS (SELECT *, dense_rank() OVER (PARTITION BY cik ORDER BY fiscal_year) AS n, count(DISTINCT fiscal_year) OVER (PARTITION BY cik) AS n_years FROM grid JOIN (SELECT item_key, statement, label FROM tag_spec) USING (item_key))
+SELECT cik, statement, item_key, label, string_agg(DISTINCT fiscal_year::VARCHAR, ',' ORDER BY fiscal_year::VARCHAR) AS years, {_SHEET} FROM n GROUP BY cik, statement, item_key, label""",
     "q24_formulas": f"""WITH {FACTS}, {YEARS}, {GRID}, c AS (SELECT cik, fiscal_year, item_key, value, chr((65 + row_number() OVER (PARTITION BY cik, item_key ORDER BY fiscal_year))::INT) || (1 + dense_rank() OVER (ORDER BY item_key))::VARCHAR AS a FROM grid),
 p AS (SELECT cik, fiscal_year, max(a) FILTER (item_key = 'gross_profit') AS gp, max(a) FILTER (item_key = 'revenue') AS rv, max(a) FILTER (item_key = 'cfo') AS cfo, max(a) FILTER (item_key = 'capex') AS cx FROM c WHERE value IS NOT NULL GROUP BY ALL)
 SELECT cik, fiscal_year, '=' || gp || '/' || rv AS gross_margin, '=(' || cfo || '-' || cx || ')/' || rv AS fcf_margin FROM p""",
     "q25_commentary_rows": """WITH q AS (SELECT cik, section, row_number() OVER (PARTITION BY cik ORDER BY doc_id) AS n FROM documents WHERE section IS NOT NULL)
 SELECT cik_str AS cik, coalesce(n, 0)::BIGINT AS n, CASE WHEN n IS NULL OR n = 1 THEN title END AS label, CASE WHEN n IS NULL THEN 'no documents' ELSE section END AS body FROM company LEFT JOIN q ON q.cik = cik_str""",
-    "q41_directions": f"""{ALL}, x AS (SELECT cik, item_key, fiscal_year, value, lead(value) OVER (PARTITION BY cik, item_key ORDER BY fiscal_year) AS nx FROM grid WHERE item_key IN ('revenue', 'net_income', 'total_assets') AND value IS NOT NULL),
+    "q41_directions": f"""{ALL}, x AS (SELECT cik, item_key, fiscal_year, value, lead(value) OVER (PARTITION BY cik, item_key ORDER BY fiscal_year) AS nx FROM grid WHERE value IS NOT NULL),
 g AS (SELECT cik, item_key, count(*)::BIGINT AS n_points, min(value) AS least, arg_min(value, fiscal_year) AS a, arg_max(value, fiscal_year) AS b, max(CASE WHEN value > 0 THEN (nx - value) / value END) AS up, min(CASE WHEN value > 0 THEN (nx - value) / value END) AS down FROM x GROUP BY ALL),
 c AS (SELECT *, CASE WHEN n_points >= 2 AND least > 0 THEN (b - a) / a END AS ch FROM g)
 SELECT cik, item_key, n_points, round(ch, 6) AS change, CASE WHEN ch > 0.02 THEN 'up' WHEN ch < -0.02 THEN 'down' WHEN ch IS NOT NULL THEN 'flat' END AS direction,

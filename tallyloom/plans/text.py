@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.figures import format_figure, number_tokens
 from tallyloom.functions.spelling import item_name
-from tallyloom.functions.text import clean_markup, pack, parse_markup, sections, sentences, words
+from tallyloom.functions.text import clean_markup, filing_chunks, longest_section, pack, parse_markup, section_text, sentences, words
 from tallyloom.operators import evals
 from tallyloom.operators import retrieval as rt
 from tallyloom.operators.grounding import claimed_direction, quote_verdict
 from tallyloom.plans.sqlparts import item
 from tallyloom.session import table
 
-HEADING = r"^(?:\d+\. )?(?:[Ll]iquidity|LIQUIDITY|[Rr]isiken|RISIKEN|[Rr]iesgos|RIESGOS|[Rr]isques|RISQUES)\z"
-BOUNDARY = r"^(?:\d+\. )?(?:[Oo]verview|OVERVIEW|PART [IVX]+|[Pp]erspectivas|PERSPECTIVAS|[Pp]erspectives|PERSPECTIVES|[Aa]usblick|AUSBLICK|Outlook and plans|Results by segment)\z"
+HEADING = r"(?:\d+\. )?(?:[Ll]iquidity|LIQUIDITY|[Rr]isiken|RISIKEN|[Rr]iesgos|RIESGOS|[Rr]isques|RISQUES)"
+BOUNDARY = r"(?:\d+\. )?(?:[Oo]verview|OVERVIEW|PART [IVX]+|[Pp]erspectivas|PERSPECTIVAS|[Pp]erspectives|PERSPECTIVES|[Aa]usblick|AUSBLICK|Outlook and plans|Results by segment)"
 TARGET, OVERLAP = 3200, 400
 
 
@@ -32,8 +32,21 @@ def q26_parse_markup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q27_section_extract(spark: SparkSession, d: str) -> DataFrame:
-    s = sections(_docs(spark, d), HEADING, BOUNDARY)
-    return s.select("doc_id", F.col("start").cast("bigint").alias("start"), F.col("span").cast("bigint").alias("span"), F.md5(F.col("section").cast("binary")).alias("digest"))
+    """The longest stretch under one of the headings; each is a line of its own."""
+    whole = lambda p: rf"{p}(?=\n|\z)"
+    found = _docs(spark, d).withColumn("f", longest_section(F.col("text"), whole(HEADING), whole(BOUNDARY))).where("f is not null")
+    return found.select("doc_id", "f.start", "f.span", F.md5(section_text(F.col("text"), F.col("f")).cast("binary")).alias("digest"))
+
+
+def q68_filing_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the documents that are risk factors or management's discussion, each set as a filing with its list of
+    contents: both headings stand twice, and only the second leads to a section."""
+    listed = "Contents\nItem 1A. Risk Factors\nItem 1B. Unresolved Staff Comments\nItem 7. Management's Discussion and Analysis\nItem 8. Financial Statements\n"
+    head = F.when(F.col("section") == "item1a", F.lit("Item 1A.\nRisk Factors\n")).otherwise(F.lit("MANAGEMENT'S DISCUSSION AND ANALYSIS\n"))
+    end = F.when(F.col("section") == "item1a", F.lit("\nItem 2. Properties\nnone\n")).otherwise(F.lit("\nItem 7A: Quantitative and qualitative disclosures\nnone\n"))
+    docs = _docs(spark, d).where("section in ('item1a', 'item7') and text is not null").select("doc_id", F.concat(F.lit(listed), head, "text", end).alias("filing"))
+    c = filing_chunks(docs, "doc_id", "filing", 800, 100)
+    return c.select("doc_id", "chunk_id", F.length("chunk").cast("bigint").alias("n_chars"), F.md5(F.col("chunk").cast("binary")).alias("digest"))
 
 
 def q28_sentences(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +96,7 @@ def q33_nearness(spark: SparkSession, d: str) -> DataFrame:
 def _by_count(spark: SparkSession, d: str) -> DataFrame:
     """A second ranking of the same queries: by plain counts of their words."""
     asked = _queries(spark, d).select("query_id", F.explode(F.array_distinct(words(F.col("query")))).alias("term"))
-    hits = rt.term_counts(_docs(spark, d)).join(F.broadcast(asked), "term").groupBy("query_id", "doc_id").agg(F.sum("tf").cast("double").alias("score"))
+    hits = rt.term_counts(_docs(spark, d), wanted=asked).join(F.broadcast(asked), "term").groupBy("query_id", "doc_id").agg(F.sum("tf").cast("double").alias("score"))
     return rt.top(hits, 20)
 
 
@@ -114,7 +127,8 @@ def q36_precision_recall(spark: SparkSession, d: str) -> DataFrame:
 def q37_refusal_rate(spark: SparkSession, d: str) -> DataFrame:
     tags = table(spark, d, "tag_spec").select(F.explode("tags").alias("query_id")).withColumn("query", F.col("query_id"))
     asked = _queries(spark, d).unionByName(tags)
-    hits = rt.term_counts(_docs(spark, d)).join(F.broadcast(asked.select("query_id", F.explode(words(F.col("query"))).alias("term"))), "term").select("query_id")
+    terms = asked.select("query_id", F.explode(words(F.col("query"))).alias("term"))
+    hits = terms.join(rt.known_terms(_docs(spark, d), terms), "term").select("query_id")
     return evals.refusal_rate(asked, hits)
 
 
@@ -191,8 +205,8 @@ SQL = {
     "q26_clean_markup": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN md5(coalesce(array_to_string(list_filter(list_transform(string_split({_UNESCAPE}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> ''), chr(10)), '')) END AS digest FROM documents",
     "q27_section_extract": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos, length(text) AS whole FROM documents WHERE text IS NOT NULL),
 a AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS at_ FROM l),
-b AS (SELECT *, coalesce(min(CASE WHEN regexp_matches(line, '{BOUNDARY}') THEN at_ END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), whole) AS stop FROM a),
-c AS (SELECT * FROM b WHERE regexp_matches(line, '{HEADING}') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY stop - at_ DESC, at_) = 1)
+b AS (SELECT *, coalesce(min(CASE WHEN regexp_matches(line, '^{BOUNDARY}\z') THEN at_ END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), whole) AS stop FROM a),
+c AS (SELECT * FROM b WHERE regexp_matches(line, '^{HEADING}\z') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY stop - at_ DESC, at_) = 1)
 SELECT doc_id, at_::BIGINT AS start, (stop - at_)::BIGINT AS span, md5(trim(regexp_replace(substring(text, (at_ + 1)::BIGINT, (stop - at_)::BIGINT), '\\s+', ' ', 'g'))) AS digest FROM c JOIN documents USING (doc_id)""",
     "q28_sentences": f"SELECT doc_id, len({_SENTS})::BIGINT AS n, md5(array_to_string({_SENTS}, '|')) AS digest FROM documents WHERE text IS NOT NULL",
     "q30_word_stats": f"""WITH w AS (SELECT doc_id, coalesce(lower(lang), '-') AS lang, {_WORDS} AS w FROM documents),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +28,26 @@ def local_session(cores: int = 8, memory: str = "8g") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Read from ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is chosen and kept in the session's configuration."""
+    """The folder all executors share. Read from ``spark.checkpoint.dir``; only where that is unset and the session is local
+    (tests on one machine) a temporary folder is chosen and kept in the session's configuration. On a cluster without the
+    setting this is an error: no machine's own folder is one that executors share."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallyloom.shared.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("tallyloom.shared.dir", known)
     return known.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a table that lasts as long as the session: it is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm.org.apache.hadoop.fs.Path(path))
+    return path
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.session import shared_dir
+from tallyloom.session import scratch_path
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -40,7 +38,7 @@ def replay(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there and read its result: every batch's rows go to the shared folder, the last batch of
     a complete result replaces those before."""
     spark = stream.sparkSession
-    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    at = scratch_path(spark, "stream")
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")

@@ -1,18 +1,21 @@
 """Behaviour of the reported-facts operators on small cases with known results."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions.figures import format_figure, parse_figure
-from tallyloom.functions.text import clean_markup, pack, parse_markup, sentences
+from tallyloom.functions.text import clean_markup, filing_chunks, pack, parse_markup, sentences
 from tallyloom.operators import evals, runlog
 from tallyloom.operators import facts as fx
 from tallyloom.operators import identities as ids
 from tallyloom.operators import retrieval as rt
 from tallyloom.operators import statements as stm
-from tallyloom.operators.cells import commentary_rows, escape_cell
+from tallyloom.operators.cells import address, commentary_rows, escape_cell, statement_sheet
 from tallyloom.operators.grounding import claimed_direction, grounded, is_negative, quote_verdict, series_direction
 from tallyloom.operators.ratios import ratio_grid
+from tallyloom.operators.runlog import ranked
 from tallyloom.sources.readers import company_list, trimmed
 
 ENTRY = "entry_id BIGINT, cik BIGINT, segment_id BIGINT, tag STRING, unit STRING, period_start STRING, period_end STRING, val DOUBLE, fy INT, fp STRING, form STRING, filed STRING"
@@ -85,14 +88,70 @@ def _grid(spark, rows):
 
 
 def test_derivations(spark):
-    rows = [(1, "total_liabilities_and_equity", 2024, 100.0, "a"), (1, "total_equity", 2024, 60.0, "b"), (1, "total_liabilities", 2024, None, None), (2, "total_assets", 2024, 9.0, "a"), (2, "total_equity", 2024, 4.0, "b"), (2, "total_liabilities", 2024, None, None)]
-    barred = spark.createDataFrame([(2, True)], "cik BIGINT, parent_only BOOLEAN")
-    got = {r["cik"]: (r["value"], r["tag"]) for r in stm.derive_total_liabilities(_grid(spark, rows), barred).where("item_key = 'total_liabilities'").collect()}
-    assert got == {1: (40.0, "derived:total_assets+total_equity"), 2: (None, None)}
+    def liabilities(rows, facts=()):
+        minority = stm.has_minority(spark.createDataFrame(list(facts), "cik BIGINT, tag STRING"))
+        got = stm.derive_total_liabilities(_grid(spark, [(1, *r) for r in rows]), minority).where("item_key = 'total_liabilities'").orderBy("fiscal_year").collect()
+        return [(r["value"], r["tag"]) for r in got]
+
+    year = lambda y, whole, equity, tag, own=None: [("total_liabilities_and_equity", y, whole, "a"), ("total_equity", y, equity, tag), ("total_liabilities", y, own, None if own is None else "l")]
+    marker = "derived:total_liabilities_and_equity-total_equity"
+    assert liabilities(year(2024, 100.0, 60.0, "stockholdersequity")) == [(40.0, marker)]
+    # Refused for the year whose equity is the parent's alone, not for the entity's others; assets are no stand-in.
+    both = [*year(2023, 90.0, 50.0, "equitywithminority"), *year(2024, 100.0, 60.0, "stockholdersequity")]
+    assert liabilities(both, [(1, "minorityinterest")]) == [(40.0, marker), (None, None)]
+    assert liabilities(both, [(2, "minorityinterest")]) == [(40.0, marker)] * 2
+    assert liabilities([*year(2024, None, 60.0, "b"), ("total_assets", 2024, 100.0, "a")]) == [(None, None)]
+    assert liabilities([*year(2023, 90.0, 50.0, "b", 7.0), *year(2024, 100.0, 60.0, "b")]) == [(7.0, "l"), (None, None)]  # reported in one year
     one = [(1, "pretax_domestic", 2024, 5.0, "a"), (1, "pretax_income", 2024, None, None)]
     assert stm.derive_pretax_income(_grid(spark, one)).where("item_key = 'pretax_income'").first()["value"] is None
     both = [*one, (1, "pretax_foreign", 2024, 2.0, "a")]
-    assert stm.derive_pretax_income(_grid(spark, both)).where("item_key = 'pretax_income'").first()["value"] == 7.0
+    assert tuple(stm.derive_pretax_income(_grid(spark, both)).where("item_key = 'pretax_income'").first()[3:]) == (7.0, "derived:pretax_domestic+pretax_foreign")
+
+
+def test_a_derived_balance_sheet_is_checked_against_what_was_filed(spark):
+    rows = [(1, "total_liabilities_and_equity", 2024, 100.0, "a"), (1, "total_assets", 2024, 100.0, "a"), (1, "total_equity", 2024, 60.0, "b"), (1, "total_liabilities", 2024, None, None)]
+    w = stm.wide(stm.derive_total_liabilities(_grid(spark, rows))).withColumn("prior_cash", F.lit(None).cast("double"))
+    (got,) = ids.checks(w, ["cik"], F.col("tag_total_liabilities").startswith("derived:")).collect()
+    assert (got["check"], got["passed"], got["lhs"], got["rhs"]) == ("balance_sheet_equation_independent", True, 100.0, 100.0)
+
+
+def test_sheet_and_addresses(spark):
+    rows = [(1, "cash", 2011, 5.0, "t"), (1, "cash", 2015, None, None), (1, "debt", 2015, 2.0, "t"), (2, "cash", 1999, 1.0, "t")]
+    got = {(r["cik"], r["item_key"]): tuple(r)[2:] for r in statement_sheet(_grid(spark, rows), ["cik", "item_key"], ["cik"], "fiscal_year", 2, "value").collect()}
+    assert got == {(1, "cash"): ("2011,2015", "5.0", "n/r"), (1, "debt"): ("2011,2015", "n/r", "2.0"), (2, "cash"): ("1999", "1.0", "n/r")}
+    at = spark.createDataFrame([(1,), (26,), (27,), (52,), (53,), (702,), (703,)], "c INT").select(address(F.col("c"), F.lit(7))).collect()
+    assert [r[0] for r in at] == ["A7", "Z7", "AA7", "AZ7", "BA7", "ZZ7", None]
+
+
+def _chunks(text, label, target, overlap):
+    sents, out, cur = [s for s in re.split(r"(?<=[.!?])\s+", text) if s] or [text], [], []
+    for i, s in enumerate(sents):
+        cur.append(s)
+        if sum(len(x) + 1 for x in cur) >= target or i == len(sents) - 1:
+            out.append(f"{label} {' '.join(cur)}")
+            kept = []
+            while sum(len(x) + 1 for x in kept) < overlap and len(kept) < len(cur):
+                kept.insert(0, cur[-1 - len(kept)])
+            cur = kept
+    return out
+
+
+def test_filing_chunks(spark):
+    risk = " ".join(f"Risk {i} could harm us." for i in range(60))
+    views = " ".join(f"Sales rose by {i}%." for i in range(50))
+    listed = "Item 1A. Risk Factors\nItem 1B. Unresolved Staff Comments\nItem 7. Management's Discussion\nItem 8. Financial Statements\n"
+    one = f"{listed}ITEM 1A.\nRISK\u00a0FACTORS\n{risk}\nsee Item 7. Management's Discussion there\nItem 2: Properties\nnone\nManagement's Discussion and Analysis\n{views}\nItem 7A quantitative"
+    df = spark.createDataFrame([(1, one), (2, "no sections"), (3, None), (4, ""), (5, "Risk factors are many.\nx")], "k INT, t STRING").withColumn("f", F.lit("clash")).withColumn("s", F.lit(1))
+    got = [(r["k"], r["chunk_id"], r["chunk"]) for r in filing_chunks(df, "k", "t", 50, 10).orderBy("k", "chunk_id").collect()]
+    a = _chunks(f"ITEM 1A. RISK FACTORS {risk} see Item 7. Management's Discussion there", "Item 1A. Risk Factors", 200, 40)
+    b = _chunks(f"Management's Discussion and Analysis {views}", "Item 7. Management's Discussion and Analysis", 200, 40)
+    assert got == [(1, f"item1a-{i:04}", x) for i, x in enumerate(a)] + [(1, f"item7-{i:04}", x) for i, x in enumerate(b)]
+
+
+def test_ranks_by_bucket(spark):
+    df = spark.range(500).select(F.lit(1).alias("k"), (F.col("id") % 100).alias("o"), "id").union(spark.createDataFrame([(None, 3, 900)], "k INT, o BIGINT, id BIGINT"))
+    got = ranked(df.where("k = 1"), "k", F.floor(F.col("o") / 10), ["o", "id"]).orderBy("n").collect()
+    assert [r["n"] for r in got] == list(range(1, 501)) and [(r["o"], r["id"]) for r in got] == sorted((r["o"], r["id"]) for r in got)
 
 
 @pytest.mark.parametrize(("shares", "eps", "income", "scale"), [(751_800.0, 11.39, 8_223_000_000.0, 1e3), (2_574_000_000.0, None, None, 1.0), (751.8, None, None, 1e6), (None, None, None, 1.0), (0.0, 1.0, 5.0, 1.0)])
