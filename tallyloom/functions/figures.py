@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# How a number is written in a text, and the suffixes of scales.
+NUMBER = r"\$?\d[\d,]*(?:\.\d+)?[%BMKTbmkt]?"
 SUFFIXES = [(1e9, "B"), (1e6, "M"), (1e3, "K")]
 
 
@@ -33,4 +35,4 @@ def parse_figure(text: Column) -> Column:
 
 def number_tokens(text: Column) -> Column:
     """Every number as it is written in a text."""
-    return F.regexp_extract_all(text, F.lit(r"(\$?\d[\d,]*(?:\.\d+)?[%BMKTbmkt]?)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1))

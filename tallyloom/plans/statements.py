@@ -12,6 +12,7 @@ from tallyloom.operators import facts as fx
 from tallyloom.operators import identities as ids
 from tallyloom.operators import statements as st
 from tallyloom.operators.cells import address, commentary_rows, escape_cell, statement_sheet
+from tallyloom.operators.drafts import verdicts
 from tallyloom.operators.evals import cell_accuracy
 from tallyloom.operators.grounding import series_direction, year_claims
 from tallyloom.operators.ratios import formula, ratio_grid
@@ -104,6 +105,44 @@ def q12_optional_term_identity(spark: SparkSession, d: str) -> DataFrame:
     return ids.checks(_optional(spark, d), KEYS).where(F.col("check") == "net_income_buildup")
 
 
+def _drafts(figures: DataFrame) -> DataFrame:
+    """One draft on each company's item with two years or more, each with one of 13 kinds of faults or none."""
+    w = Window.partitionBy("subject").orderBy("fiscal_year")
+    ends = figures.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("subject"))).withColumn("before", F.lag("figure").over(w)).withColumn("first", F.first("figure").over(w))
+    last = ends.groupBy("subject", "cik", "item_key").agg(F.max_by(F.struct("fiscal_year", "figure", "before", "first", "value"), "fiscal_year").alias("l"), F.max("n").alias("n")).where("n >= 2").select("subject", "cik", "item_key", "l.*")
+    plain = lambda c: F.regexp_replace(c, " shares$", "")
+    year, f, g, first = F.col("fiscal_year").cast("string"), plain(F.col("figure")), plain(F.col("before")), plain(F.col("first"))
+    other_sign = F.when(f.startswith("-"), F.substr(f, F.lit(2))).otherwise(F.concat(F.lit("-"), f))
+    chunk = F.concat("item_key", F.lit("-0001"))
+    cited = lambda text, chunk_id, quote: F.to_json(F.struct(text.alias("text"), F.array(F.struct(chunk_id.alias("chunk_id"), quote.alias("quote"))).alias("citations")), {"ignoreNullFields": "false"})
+    said = lambda *parts: F.to_json(F.struct(F.concat(*parts).alias("text")))
+    quote, lit = F.concat("item_key", F.lit(" is reported")), F.lit
+    kinds = [
+        lit("not json"),
+        cited(lit("a"), lit("BAD"), quote),
+        cited(lit(None).cast("string"), chunk, quote),
+        cited(lit("a"), lit("none-9999"), quote),
+        cited(lit("a"), chunk, F.repeat(lit("x"), 301)),
+        cited(lit("a"), chunk, lit("  ab ")),
+        cited(lit("a"), chunk, lit("not in the text at all")),
+        said(lit("It was $1.0101T.")),
+        said(lit("It was "), other_sign, lit(".")),
+        said(g, lit(" in FY"), year, lit(" was told.")),
+        said(lit("It rose to "), f, lit(" from "), g, lit(".")),
+        said(lit("It rose steadily from "), first, lit(" to "), f, lit(".")),
+        cited(F.concat(lit("It was "), f, lit(" in FY"), year, lit(".")), chunk, quote),
+    ]
+    kind = ((F.col("cik") + F.length("item_key")) % len(kinds)).cast("int")
+    return last.select(F.col("subject").alias("draft_id"), "subject", F.get(F.array(*kinds), kind).alias("raw"))
+
+
+def q66_draft_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Drafts on the companies' figures, held against them and against a chunk on each item of the dictionary."""
+    f = checkpointed(_figures(spark, d).withColumn("subject", F.concat_ws("-", F.col("cik").cast("string"), "item_key")))
+    chunks = table(spark, d, "tag_spec").select(F.concat("item_key", F.lit("-0001")).alias("chunk_id"), F.concat("item_key", F.lit(" is reported, as "), "label").alias("text"))
+    return verdicts(_drafts(f), f.select("subject", "fiscal_year", "figure"), chunks)
+
+
 def q67_all_checks(spark: SparkSession, d: str) -> DataFrame:
     """All checks of a derived grid, with items standing for those the dictionary lacks: the parts of operating expenses
     for their sum, and three kinds of assets for liabilities-and-equity, so that a derived balance sheet is checked."""
@@ -314,7 +353,20 @@ made AS ({_SIX}) SELECT * FROM made UNION ALL SELECT cik, fiscal_year, 'insuffic
 _SHEET = ", ".join(f"coalesce(max(CASE WHEN n = {i} THEN value::DECIMAL(38, 2) END)::VARCHAR, 'n/r') AS v{i}" for i in range(1, 6))
 _LOG = "abs(ln(s * {k}) - ln(implied))"
 
+_PARSED = """CASE WHEN figure LIKE '-%' THEN -1 ELSE 1 END * regexp_extract(replace(figure, ',', ''), '[0-9.]+')::DOUBLE
+ * CASE WHEN figure LIKE '%K%' THEN 1e3 WHEN figure LIKE '%M%' THEN 1e6 WHEN figure LIKE '%B%' THEN 1e9 ELSE 1 END"""
+# What each planted fault is to be found as; a change is told of by the figures as they are written.
+_DRAFTS = f"""{_FIGURES}, p AS (SELECT cik, item_key, fiscal_year, figure, {_PARSED} AS v FROM fig),
+s AS (SELECT *, lag(v) OVER w AS u, lag(figure) OVER w AS g, first_value(v) OVER w AS v0, first_value(fiscal_year) OVER w AS y0, first_value(figure) OVER w AS f0, count(*) OVER (PARTITION BY cik, item_key) AS n FROM p WINDOW w AS (PARTITION BY cik, item_key ORDER BY fiscal_year)),
+l AS (SELECT s.*, bool_or(coalesce(u > 0 AND v > 0 AND (v - u) / u < -0.005, false)) OVER (PARTITION BY cik, item_key) AS dips, row_number() OVER (PARTITION BY cik, item_key ORDER BY fiscal_year DESC) AS r, (cik + length(item_key)) % 13 AS k FROM s WHERE n >= 2),
+t AS (SELECT * FROM l WHERE r = 1)
+SELECT cik::VARCHAR || '-' || item_key AS draft_id, CASE k WHEN 0 THEN 'not_json' WHEN 1 THEN 'bad_shape' WHEN 2 THEN 'refusal_with_citations' WHEN 3 THEN 'unknown_chunk' WHEN 4 THEN 'too_long' WHEN 5 THEN 'too_short' WHEN 6 THEN 'not_verbatim' WHEN 7 THEN 'ungrounded'
+  WHEN 8 THEN 'wrong_sign' WHEN 9 THEN CASE WHEN g = figure THEN 'ok' ELSE 'wrong_year' END
+  WHEN 10 THEN CASE WHEN u > 0 AND v > 0 AND (v - u) / u < -0.02 THEN 'wrong_direction' ELSE 'ok' END
+  WHEN 11 THEN CASE WHEN NOT (v0 > 0 AND v > 0) OR abs((v - v0) / v0) <= 0.02 THEN 'ok' WHEN v < v0 THEN 'wrong_direction' WHEN dips THEN 'not_steady' ELSE 'ok' END ELSE 'ok' END AS verdict FROM t"""
+
 SQL = {
+    "q66_draft_verdicts": _DRAFTS,
     "q01_latest_filed_wins": f"WITH {FACTS} SELECT * FROM per",
     "q02_fallback_chain": f"WITH {FACTS} SELECT * EXCLUDE (place) FROM res",
     "q03_annual_durations": f"WITH {FACTS} SELECT entry_id, (e - s)::BIGINT AS days FROM facts WHERE form IN ('10-K', '10-K/A') AND NOT instant AND e - s BETWEEN 330 AND 400",

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.functions.figures import format_figure, number_tokens
+from tallyloom.functions.figures import NUMBER, format_figure, number_tokens
 from tallyloom.functions.spelling import item_name
 from tallyloom.functions.text import clean_markup, filing_chunks, longest_section, pack, parse_markup, section_text, sentences, words
 from tallyloom.operators import evals
 from tallyloom.operators import retrieval as rt
-from tallyloom.operators.grounding import claimed_direction, quote_verdict
+from tallyloom.operators.grounding import CONJUNCTIONS, DOWN, HEDGE, LEVEL, NEGATION, UP, claimed_direction, clauses, numbers_told, quote_verdict
 from tallyloom.plans.sqlparts import item
 from tallyloom.session import table
 
@@ -145,17 +145,19 @@ def q39_number_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q40_number_grounding(spark: SparkSession, d: str) -> DataFrame:
-    """How many of a document's figures are figures of its company."""
+    """How many of a document's figures are figures of its company, under the sign they are written with."""
     units = table(spark, d, "tag_spec").select("item_key", "unit")
     r = table(spark, d, "resolved_value").where("value is not null").select("cik", item_name("item_key").alias("item_key"), "value").join(F.broadcast(units), "item_key")
-    figures = r.select("cik", F.explode(F.array(format_figure(F.col("value"), F.col("unit")), F.concat(F.lit("$"), F.format_number("value", 0)))).alias("token")).distinct().withColumn("known", F.lit(1))
-    told = _docs(spark, d).select("doc_id", "cik", F.explode(F.array_distinct(number_tokens(F.coalesce("text", F.lit(""))))).alias("token"))
-    return told.join(figures, ["cik", "token"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count("known").alias("n_grounded"))
+    forms = F.array(F.regexp_replace(format_figure(F.abs("value"), F.col("unit")), " shares$", ""), F.concat(F.lit("$"), F.format_number(F.abs("value"), 0)))
+    figures = r.select("cik", (F.col("value") < 0).alias("negative"), F.explode(forms).alias("token")).distinct().withColumn("known", F.lit(1))
+    told = F.array_distinct(F.transform(numbers_told(F.coalesce("text", F.lit(""))), lambda n: F.struct(n["token"].alias("token"), n["negative"].alias("negative"))))
+    said = _docs(spark, d).select("doc_id", "cik", F.explode(told).alias("n")).select("doc_id", "cik", "n.token", "n.negative")
+    return said.join(figures, ["cik", "token", "negative"], "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tokens"), F.count("known").alias("n_grounded"), F.count_if("negative").alias("n_negative"))
 
 
 def q41_claims(spark: SparkSession, d: str) -> DataFrame:
-    s = _docs(spark, d).where("text is not null").select("doc_id", F.explode(sentences(F.col("text"))).alias("s")).select("doc_id", claimed_direction(F.col("s")).alias("direction"))
-    return s.groupBy("doc_id").agg(*[F.count_if(F.col("direction") == x).alias(f"n_{x}") for x in ("up", "down", "flat")])
+    c = _docs(spark, d).where("text is not null").select("doc_id", F.explode_outer(clauses(F.col("text"))).alias("c")).select("doc_id", claimed_direction(F.col("c")).alias("direction"))
+    return c.groupBy("doc_id").agg(*[F.count_if(F.col("direction") == x).alias(f"n_{x}") for x in ("up", "down", "flat")])
 
 
 def q43_section_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -176,7 +178,7 @@ QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q"
 _SENT = r"list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
 _SENTS = f"CASE WHEN len({_SENT}) > 0 THEN {_SENT} ELSE [text] END"
 _WORDS = "regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9]+)', 1)"
-_NUMBERS = r"regexp_extract_all(coalesce(text, ''), '(\$?\d[\d,]*(?:\.\d+)?[%BMKTbmkt]?)', 1)"
+_NUMBERS = f"regexp_extract_all(coalesce(text, ''), '({NUMBER})', 1)"
 _BM25 = f"""
 w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 tf AS (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM w) GROUP BY ALL),
@@ -199,7 +201,9 @@ _UNESCAPE = f"replace(replace(replace(replace(replace(replace({_CLEAN}, chr(160)
 _FIG = """CASE WHEN value < 0 THEN '-' ELSE '' END || CASE WHEN unit = 'USD/shares' THEN '$' || format('{:,.2f}', abs(value))
   ELSE CASE WHEN unit = 'shares' THEN '' ELSE '$' END || CASE WHEN abs(value) >= 1e9 THEN format('{:,.2f}', abs(value) / 1e9) || 'B' WHEN abs(value) >= 1e6 THEN format('{:,.2f}', abs(value) / 1e6) || 'M'
     WHEN abs(value) >= 1e3 THEN format('{:,.2f}', abs(value) / 1e3) || 'K' ELSE format('{:,.2f}', abs(value)) END || CASE WHEN unit = 'shares' THEN ' shares' ELSE '' END END"""
-_UP, _DOWN, _LEVEL, _DOUBT = "rose|increas|grew|grow|climb|higher|improv|expand", "fell|decreas|declin|drop|lower|shrank|slipp|reduc", "flat|unchanged|stable|steady", "not|no|never|without|if|may|might|could|would|should|expect|excluding"
+# RE2 looks neither ahead nor back: a stop within a number is first taken out, then the text is cut.
+_CLAUSES = rf"string_split(regexp_replace(regexp_replace(lower(text), '[.;:!?]([0-9])', chr(2) || '\1', 'g'), '[.;:!?]\s*|\s+(?:{CONJUNCTIONS})\s*', chr(1), 'g'), chr(1))"
+
 
 SQL = {
     "q26_clean_markup": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN md5(coalesce(array_to_string(list_filter(list_transform(string_split({_UNESCAPE}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> ''), chr(10)), '')) END AS digest FROM documents",
@@ -227,11 +231,13 @@ SELECT q.doc_id, CASE WHEN d.text IS NULL THEN 'unknown_chunk' WHEN length(quote
 FROM q LEFT JOIN documents d ON d.doc_id = q.cited""",
     "q39_number_tokens": f"SELECT doc_id, len({_NUMBERS})::BIGINT AS n_numbers, md5(coalesce(array_to_string({_NUMBERS}, ' '), '')) AS digest FROM documents",
     "q40_number_grounding": f"""WITH r AS (SELECT cik, value, unit FROM (SELECT cik, {item('item_key')} AS item_key, value FROM resolved_value WHERE value IS NOT NULL) JOIN (SELECT item_key, unit FROM tag_spec) USING (item_key)),
-f AS (SELECT cik, {_FIG} AS token FROM r UNION SELECT cik, '$' || format('{{:,.0f}}', value) FROM r),
-t AS (SELECT DISTINCT doc_id, cik, unnest({_NUMBERS}) AS token FROM documents)
-SELECT doc_id, count(*)::BIGINT AS n_tokens, count(f.token)::BIGINT AS n_grounded FROM t LEFT JOIN f ON f.cik = t.cik AND f.token = t.token GROUP BY doc_id""",
-    "q41_claims": f"""WITH s AS (SELECT doc_id, lower(unnest({_SENTS})) AS s FROM documents WHERE text IS NOT NULL),
-v AS (SELECT doc_id, regexp_matches(s, '{_UP}') AS u, regexp_matches(s, '{_DOWN}') AS d, regexp_matches(s, '{_LEVEL}') AS l, regexp_matches(s, '{_DOUBT}') AS x FROM s)
+f AS (SELECT cik, value < 0 AS negative, regexp_replace({_FIG.replace("value < 0", "false")}, ' shares$', '') AS token FROM r UNION SELECT cik, value < 0, '$' || format('{{:,.0f}}', abs(value)) FROM r),
+p AS (SELECT doc_id, cik, {_NUMBERS} AS n, string_split_regex(coalesce(text, ''), '{NUMBER}') AS s FROM documents),
+u AS (SELECT doc_id, cik, n[i] AS token, CASE WHEN i > 1 THEN right(n[i - 1], 1) ELSE '' END || s[i] AS b, s[i + 1] AS a FROM (SELECT *, unnest(range(1, len(n) + 1)) AS i FROM p)),
+t AS (SELECT DISTINCT doc_id, cik, token, regexp_matches(b, '(^|[^0-9])[-−–]\\$? ?$') OR (ends_with(b, '(') AND starts_with(a, ')') AND NOT regexp_matches(token, '^[0-9]+$')) AS negative FROM u)
+SELECT doc_id, count(*)::BIGINT AS n_tokens, count(f.token)::BIGINT AS n_grounded, count(*) FILTER (t.negative)::BIGINT AS n_negative FROM t LEFT JOIN f ON f.cik = t.cik AND f.token = t.token AND f.negative = t.negative GROUP BY doc_id""",
+    "q41_claims": f"""WITH s AS (SELECT doc_id, unnest({_CLAUSES}) AS s FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, regexp_matches(s, '{UP}') AS u, regexp_matches(s, '{DOWN}') AS d, regexp_matches(s, '{LEVEL}') AS l, regexp_matches(s, '{NEGATION.replace("'", "''")}') OR regexp_matches(s, '{HEDGE}') AS x FROM s)
 SELECT doc_id, count(*) FILTER (NOT x AND u AND NOT d AND NOT l)::BIGINT AS n_up, count(*) FILTER (NOT x AND d AND NOT u AND NOT l)::BIGINT AS n_down, count(*) FILTER (NOT x AND l AND NOT u AND NOT d)::BIGINT AS n_flat FROM v GROUP BY doc_id""",
     "q43_section_counts": "SELECT coalesce(section, '-') AS section, count(*)::BIGINT AS n_docs, sum(length(text))::BIGINT AS n_chars, count(*) >= 5 AND sum(length(text)) >= 2000 AS enough FROM documents GROUP BY 1",
     "q44_rates": """WITH b AS (SELECT text IS NOT NULL AND trim(text) <> '' AS t, source IS NOT NULL AS s, section IS NOT NULL AS c FROM documents)
