@@ -11,11 +11,11 @@ from tallyloom.functions.text import sentences
 from tallyloom.operators import facts as fx
 from tallyloom.operators import identities as ids
 from tallyloom.operators import statements as st
-from tallyloom.operators.cells import address, commentary_rows, escape_cell, statement_sheet
+from tallyloom.operators.cells import commentary_rows, escape_cell, placed_cells, ratio_cells, statement_sheet, workbook
 from tallyloom.operators.drafts import verdicts
 from tallyloom.operators.evals import cell_accuracy
 from tallyloom.operators.grounding import series_direction, year_claims
-from tallyloom.operators.ratios import formula, ratio_grid
+from tallyloom.operators.ratios import ratio_grid
 from tallyloom.plans.sqlparts import ALL, FACTS, GRID, WIDE, YEARS, date, item, tolerance
 from tallyloom.session import checkpointed, table
 
@@ -215,19 +215,22 @@ def q23_statement_sheet(spark: SparkSession, d: str) -> DataFrame:
     return statement_sheet(g, ["cik", "statement", "item_key", "label"], ["cik"], "fiscal_year", 5, "v")
 
 
-def _cells(spark: SparkSession, d: str) -> DataFrame:
-    """Each grid cell's address: years are columns from B on, items are rows in key order from 2 on."""
-    order = F.row_number().over(Window.orderBy("item_key"))
-    items = table(spark, d, "tag_spec").select("item_key", (order + 1).alias("row"))
-    column = F.row_number().over(Window.partitionBy("cik", "item_key").orderBy("fiscal_year")) + 1
-    return _grid(spark, d).join(F.broadcast(items), "item_key").withColumn("at", address(column, F.col("row")))
+def q24_formulas(spark: SparkSession, d: str) -> DataFrame:
+    """Every ratio as the formula that a workbook would hold, or why it holds none."""
+    g = checkpointed(_grid(spark, d))
+    w = st.wide(g).withColumn("before", F.lag("revenue").over(Window.partitionBy("cik").orderBy("fiscal_year")))
+    return ratio_cells(placed_cells(g, table(spark, d, "tag_spec")), ratio_grid(w, KEYS, "before")).select("cik", "fiscal_year", "ratio", "cell")
 
 
-def q24_formulas(spark: SparkSession, d: str) -> DataFrame:
-    c = _cells(spark, d).where("value is not null")
-    a = lambda i: F.max(F.when(F.col("item_key") == i, F.col("at")))
-    by_year = c.groupBy(*KEYS).agg(a("gross_profit").alias("gp"), a("revenue").alias("rv"), a("cfo").alias("cfo"), a("capex").alias("cx"))
-    return by_year.select(*KEYS, formula(F.col("gp"), F.col("rv")).alias("gross_margin"), formula(F.col("cfo"), F.col("rv"), F.col("cx")).alias("fcf_margin"))
+def q69_workbook(spark: SparkSession, d: str) -> DataFrame:
+    """All cells of the companies' workbooks, with derived liabilities."""
+    g = checkpointed(_derived(spark, d))
+    cells = placed_cells(g, table(spark, d, "tag_spec"))
+    w = st.wide(g).withColumn("before", F.lag("revenue").over(Window.partitionBy("cik").orderBy("fiscal_year")))
+    w = ids.with_prior(ids.with_prior(w, ["cik"], "fiscal_year", "cash_and_equivalents", "prior_cash"), ["cik"], "fiscal_year", "retained_earnings", "prior_retained")
+    scales = st.share_scale(w, ["cik"], "fiscal_year", "weighted_diluted_shares", "eps_diluted", "net_income")
+    derived = F.coalesce(F.col("tag_total_liabilities").startswith("derived:"), F.lit(False))
+    return workbook(cells, ratio_cells(cells, ratio_grid(w, KEYS, "before")), ids.checks(w, KEYS, derived), ids.residuals(w, KEYS), scales)
 
 
 def q25_commentary_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -319,6 +322,21 @@ def _ratio_sql() -> str:
     return f"{ALL}, b AS (SELECT *, lag(revenue) OVER (PARTITION BY cik ORDER BY fiscal_year) AS before FROM wide), ratios AS ({' UNION ALL '.join(parts)}) SELECT * FROM ratios"
 
 
+def _formula_sql() -> str:
+    """Formulas of the same ratios over addresses, told by the statuses above."""
+    made = {"fcf": "'=' || cfo || '-' || capex", "fcf_margin": "'=' || chr((64 + col)::INT) || '13/' || revenue", "revenue_growth": "'=(' || revenue || '-' || before || ')/' || before", "quick_ratio": "'=(' || total_current_assets || '-' || inventory || ')/' || total_current_liabilities"}
+    for name, top, _, under, _ in _RATIO:
+        made.setdefault(name, f"'=' || {top} || '/' || {under}")
+    cases = " ".join(f"WHEN '{name}' THEN {f}" for name, f in made.items())
+    items = "revenue gross_profit operating_income net_income total_assets total_equity total_current_assets total_current_liabilities inventory total_liabilities cfo capex".split()
+    cells = ", ".join(f"max(addr) FILTER (item_key = '{i}') AS {i}" for i in items)
+    return f"""{_ratio_sql().removesuffix(' SELECT * FROM ratios')},
+sh AS (SELECT item_key, chr(39) || CASE statement WHEN 'income' THEN 'Income Statement' WHEN 'balance' THEN 'Balance Sheet' ELSE 'Cash Flow' END || chr(39) AS sheet, 3 + row_number() OVER (PARTITION BY statement ORDER BY item_key) AS r FROM tag_spec),
+pc AS (SELECT cik, fiscal_year, item_key, col, sheet || '!' || chr((64 + col)::INT) || r::VARCHAR AS addr FROM (SELECT *, 1 + dense_rank() OVER (PARTITION BY cik ORDER BY fiscal_year) AS col FROM grid JOIN sh USING (item_key))),
+aw AS (SELECT cik, fiscal_year, col, {cells} FROM pc GROUP BY ALL), ab AS (SELECT *, lag(revenue) OVER (PARTITION BY cik ORDER BY fiscal_year) AS before FROM aw)
+SELECT cik, fiscal_year, ratio, CASE WHEN status <> 'ok' THEN status ELSE CASE ratio {cases} END END AS cell FROM ratios JOIN ab USING (cik, fiscal_year)"""
+
+
 _FIGURE = """CASE WHEN value < 0 THEN '-' ELSE '' END || CASE WHEN unit = 'USD/shares' THEN '$' || format('{:,.2f}', abs(value))
   ELSE CASE WHEN unit = 'shares' THEN '' ELSE '$' END || CASE WHEN abs(value) >= 1e9 THEN format('{:,.2f}', abs(value) / 1e9) || 'B' WHEN abs(value) >= 1e6 THEN format('{:,.2f}', abs(value) / 1e6) || 'M'
     WHEN abs(value) >= 1e3 THEN format('{:,.2f}', abs(value) / 1e3) || 'K' ELSE format('{:,.2f}', abs(value)) END || CASE WHEN unit = 'shares' THEN ' shares' ELSE '' END END"""
@@ -400,9 +418,7 @@ SELECT cik, coalesce(scale, CASE WHEN l > 0 AND l < 1e6 THEN 1000000.0 ELSE 1.0
     "q22_escape_cells": "SELECT obs_id, CASE WHEN regexp_matches(value_text, '^[=+\\-@\\t\\r]') THEN '''' || value_text ELSE value_text END AS cell FROM line_item",
     "q23_statement_sheet": f"""WITH {FACTS}, {YEARS}, {GRID}, n AS (SELECT *, dense_rank() OVER (PARTITION BY cik ORDER BY fiscal_year) AS n, count(DISTINCT fiscal_year) OVER (PARTITION BY cik) AS n_years FROM grid JOIN (SELECT item_key, statement, label FROM tag_spec) USING (item_key))
 SELECT cik, statement, item_key, label, string_agg(DISTINCT fiscal_year::VARCHAR, ',' ORDER BY fiscal_year::VARCHAR) AS years, {_SHEET} FROM n GROUP BY cik, statement, item_key, label""",
-    "q24_formulas": f"""WITH {FACTS}, {YEARS}, {GRID}, c AS (SELECT cik, fiscal_year, item_key, value, chr((65 + row_number() OVER (PARTITION BY cik, item_key ORDER BY fiscal_year))::INT) || (1 + dense_rank() OVER (ORDER BY item_key))::VARCHAR AS a FROM grid),
-p AS (SELECT cik, fiscal_year, max(a) FILTER (item_key = 'gross_profit') AS gp, max(a) FILTER (item_key = 'revenue') AS rv, max(a) FILTER (item_key = 'cfo') AS cfo, max(a) FILTER (item_key = 'capex') AS cx FROM c WHERE value IS NOT NULL GROUP BY ALL)
-SELECT cik, fiscal_year, '=' || gp || '/' || rv AS gross_margin, '=(' || cfo || '-' || cx || ')/' || rv AS fcf_margin FROM p""",
+    "q24_formulas": _formula_sql(),
     "q25_commentary_rows": """WITH q AS (SELECT cik, section, row_number() OVER (PARTITION BY cik ORDER BY doc_id) AS n FROM documents WHERE section IS NOT NULL)
 SELECT cik_str AS cik, coalesce(n, 0)::BIGINT AS n, CASE WHEN n IS NULL OR n = 1 THEN title END AS label, CASE WHEN n IS NULL THEN 'no documents' ELSE section END AS body FROM company LEFT JOIN q ON q.cik = cik_str""",
     "q41_directions": f"""{ALL}, x AS (SELECT cik, item_key, fiscal_year, value, lead(value) OVER (PARTITION BY cik, item_key ORDER BY fiscal_year) AS nx FROM grid WHERE value IS NOT NULL),

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.figures import format_figure, parse_figure
@@ -12,7 +13,7 @@ from tallyloom.operators import facts as fx
 from tallyloom.operators import identities as ids
 from tallyloom.operators import retrieval as rt
 from tallyloom.operators import statements as stm
-from tallyloom.operators.cells import address, commentary_rows, escape_cell, statement_sheet
+from tallyloom.operators.cells import address, commentary_rows, escape_cell, placed_cells, ratio_cells, statement_sheet, workbook
 from tallyloom.operators.grounding import claimed_direction, grounded, is_negative, quote_verdict, series_direction
 from tallyloom.operators.ratios import ratio_grid
 from tallyloom.operators.runlog import ranked
@@ -123,6 +124,27 @@ def test_sheet_and_addresses(spark):
     assert [r[0] for r in at] == ["A7", "Z7", "AA7", "AZ7", "BA7", "ZZ7", None]
 
 
+def test_workbook_cells(spark):
+    items = [("revenue", "Revenue", "income", "USD"), ("cfo", "Cash from operations", "cashflow", "USD"), ("capex", "Capex", "cashflow", "USD"), ("net_income", "=Net", "income", "USD"), ("weighted_diluted_shares", "Shares", "income", "shares"), ("total_equity", "Equity", "balance", "USD")]
+    specs = spark.createDataFrame(items, "item_key STRING, label STRING, statement STRING, unit STRING")
+    values = {"revenue": (100.0, 110.0), "cfo": (30.0, None), "capex": (10.0, 5.0), "net_income": (7.0, 9.0), "weighted_diluted_shares": (5.0, 5.0), "total_equity": (-1.0, 2.0)}
+    g = _grid(spark, [(1, i, 2020 + y, v, "derived:x" if i == "total_equity" else "t") for i, each in values.items() for y, v in enumerate(each)])
+    cells = placed_cells(g, specs)
+    w = ids.with_prior(ids.with_prior(stm.wide(g), ["cik"], "fiscal_year", "cash_and_equivalents", "prior_cash"), ["cik"], "fiscal_year", "retained_earnings", "prior_retained")
+    w = w.withColumn("before", F.lag("revenue").over(Window.partitionBy("cik").orderBy("fiscal_year")))
+    made = ratio_cells(cells, ratio_grid(w, ["cik", "fiscal_year"], "before"))
+    got = {(r["ratio"], r["fiscal_year"]): r["cell"] for r in made.collect()}
+    assert got["net_margin", 2020] == "='Income Statement'!B4/'Income Statement'!B5" and got["roe", 2020] == "n/m" and got["roe", 2021] == "='Income Statement'!C4/'Balance Sheet'!C4"
+    assert got["fcf", 2020] == "='Cash Flow'!B5-'Cash Flow'!B4" and got["fcf_margin", 2020] == "=B13/'Income Statement'!B5" and got["fcf_margin", 2021] == "n/a"
+    assert got["revenue_growth", 2021] == "=('Income Statement'!C5-'Income Statement'!B5)/'Income Statement'!B5" and got["revenue_growth", 2020] == "n/a"
+    scales = spark.createDataFrame([(1, 1e6)], "cik BIGINT, scale DOUBLE")
+    book = {(r["sheet"], r["row"], r["col"]): (r["text"], r["number"], r["formula"]) for r in workbook(cells, made, ids.checks(w, ["cik", "fiscal_year"]), ids.residuals(w, ["cik", "fiscal_year"]), scales).collect()}
+    assert book["Income Statement", 4, 1] == ("'=Net", None, None) and book["Income Statement", 6, 1][0] == "Shares (millions)" and book["Income Statement", 6, 2][1] == 5.0
+    assert book["Cash Flow", 5, 3] == ("n/r", None, None) and book["Balance Sheet", 4, 1][0] == "Equity (derived)" and book["Balance Sheet", 3, 2][0] == "FY2020"
+    assert book["Ratios", 13, 2] == (None, None, got["fcf", 2020]) and book["Ratios", 13, 1][0] == "Free cash flow"
+    assert book["Tie-out", 5, 1][0] == "insufficient_data_2020" and book["Tie-out", 5, 7][0] == "FAIL"
+
+
 def _chunks(text, label, target, overlap):
     sents, out, cur = [s for s in re.split(r"(?<=[.!?])\s+", text) if s] or [text], [], []
     for i, s in enumerate(sents):
@@ -229,7 +251,7 @@ def test_text(spark):
 def test_grounding(spark):
     df = spark.createDataFrame([("1.04", ["$391.04B"]), ("391.04B", ["$391.04B"]), ("391", ["$391.04B"]), ("5", ["5%"])], "t STRING, h ARRAY<STRING>")
     assert [r[0] for r in df.select(grounded(F.col("t"), F.col("h"))).collect()] == [False, True, False, False]
-    neg = spark.createDataFrame([("fell to -$5.00", "5.00"), ("rose to $5.00", "5.00"), ("($5.00)", "5.00"), ("(5)", "5")], "t STRING, n STRING")
+    neg = spark.createDataFrame([("fell to -$5.00", "5.00"), ("rose to $5.00", "5.00"), ("($5.00)", "$5.00"), ("(5)", "5")], "t STRING, n STRING")
     assert [r[0] for r in neg.select(is_negative(F.col("t"), F.col("n"))).collect()] == [True, False, True, False]
     q = spark.createDataFrame([("cash rose", "the cash rose"), ("Cash rose", "the cash rose"), ("abc", "abc"), ("x" * 301, "x" * 400), ("cash rose", None)], "q STRING, c STRING")
     assert [r[0] for r in q.select(quote_verdict(F.col("q"), F.col("c"))).collect()] == ["ok", "not_verbatim", "too_short", "too_long", "unknown_chunk"]
