@@ -113,6 +113,18 @@ def q35_retrieve(spark: SparkSession, d: str) -> DataFrame:
     return rt.retrieve(_lists(spark, d), 0.014).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
+def q70_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Words and vectors fused, the pool reranked by shared words; with the digest of each chunk that is left."""
+    r = rt.hybrid(_docs(spark, d), _queries(spark, d), rerank=rt.shared_words, least_reranked=0.3)
+    return r.select("query_id", "doc_id", "score", "rank", "scored_by", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def q71_hybrid_fused(spark: SparkSession, d: str) -> DataFrame:
+    """The same without a reranking model: the fused scores and their own limit."""
+    r = rt.hybrid(_docs(spark, d), _queries(spark, d), least_fused=0.0125)
+    return r.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank", "scored_by")
+
+
 def _gold(spark: SparkSession, d: str) -> DataFrame:
     """Documents that name the queried item in full."""
     docs = _docs(spark, d).select("doc_id", F.lower("text").alias("t"))
@@ -194,6 +206,16 @@ cs AS (SELECT query_id, doc_id, sum(tf)::DOUBLE AS score FROM tf JOIN (SELECT DI
 ct AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM cs QUALIFY rank <= 20),
 li AS (SELECT query_id, doc_id, 0 AS l, rank FROM bm UNION ALL SELECT query_id, doc_id, 1, rank FROM ct),
 fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(l * 1000 + rank) AS first_ FROM li GROUP BY ALL)"""
+_EMBED = "list_transform(range(16), lambda i: ('0x' || substr(sha256({0}), (1 + 2 * i)::BIGINT, 2))::INT / 255)"
+# Words rank texts alone: those without are in no list and count in no mean.
+_BM25_TEXTS = _BM25.replace("AS w FROM documents)", "AS w FROM documents WHERE text IS NOT NULL)")
+_HYBRID = f"""WITH {_BM25_TEXTS},
+qe AS (SELECT item_key AS query_id, label AS query, {_EMBED.format('label')} AS q FROM tag_spec), de AS (SELECT doc_id, {_EMBED.format('text')} AS e FROM documents WHERE text IS NOT NULL),
+vs AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(e, q), 6) DESC, doc_id) AS rank FROM qe CROSS JOIN de QUALIFY rank <= 20),
+li AS (SELECT query_id, doc_id, 0 AS l, rank FROM bm UNION ALL SELECT query_id, doc_id, 1, rank FROM vs),
+fu AS (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score, min(l * 1000 + rank) AS first_ FROM li GROUP BY ALL),
+po AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_, doc_id) AS at_ FROM fu QUALIFY at_ <= 18)"""
+_ASKED = "list_distinct(regexp_extract_all(lower(query), '([a-z0-9]+)', 1))"
 _VEC = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT query_id, vec_id AS doc_id, round({how}, 6) AS score FROM q CROSS JOIN embeddings)
 SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"""
 _CLEAN = r"""regexp_replace(regexp_replace(text, '(?is)<(script|style)\b.*?</(script|style)>', '', 'g'), '(?s)<[^>]*>', chr(10), 'g')"""
@@ -221,6 +243,9 @@ SELECT lang, count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_words, coalesc
     "q33_nearness": _VEC.format(how="1 / (1 + list_distance(embedding::DOUBLE[], q) ** 2)"),
     "q34_fusion": f"{_FUSED} SELECT query_id, doc_id, round(score, 9) AS score FROM fu",
     "q35_retrieve": f"{_FUSED}, r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_, doc_id) AS rank FROM fu) SELECT query_id, doc_id, round(score, 9) AS score, rank FROM r WHERE rank <= 6 AND score >= 0.014",
+    "q70_hybrid": f"""{_HYBRID}, re AS (SELECT query_id, doc_id, at_, text, round(len(list_intersect({_ASKED}, {_WORDS})) / len({_ASKED}), 9)::DOUBLE AS score FROM po JOIN qe USING (query_id) JOIN documents USING (doc_id))
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, at_) AS rank, 'rerank' AS scored_by, md5(text) AS digest FROM re WHERE score >= 0.3 QUALIFY rank <= 6""",
+    "q71_hybrid_fused": f"{_HYBRID} SELECT query_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, at_) AS rank, 'rrf' AS scored_by FROM po WHERE score >= 0.0125 QUALIFY rank <= 6",
     "q36_precision_recall": f"""WITH {_BM25}, g AS (SELECT item_key AS query_id, doc_id FROM tag_spec JOIN documents ON contains(lower(text), lower(label)))
 SELECT g.query_id, count(bm.doc_id)::BIGINT AS hits, round(count(bm.doc_id) / 10, 6)::DOUBLE AS precision, round(count(bm.doc_id) / count(*), 6)::DOUBLE AS recall FROM g LEFT JOIN (SELECT * FROM bm WHERE rank <= 10) bm ON bm.query_id = g.query_id AND bm.doc_id = g.doc_id GROUP BY 1""",
     "q37_refusal_rate": f"""WITH q AS (SELECT item_key AS query_id, label AS query FROM tag_spec UNION ALL SELECT unnest(tags), unnest(tags) FROM tag_spec), t AS (SELECT DISTINCT unnest({_WORDS}) AS t FROM documents),
