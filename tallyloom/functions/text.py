@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,7 +56,7 @@ def parse_markup(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def sentences(text: Column) -> Column:
     """Split after ``.``, ``!`` or ``?`` and white space; a text without any end is one sentence."""
     parts = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda x: x != "")
-    return F.when(F.size(parts) > 0, parts).otherwise(F.array(text))
+    return bound(parts, lambda each: F.when(F.size(each) > 0, each).otherwise(F.array(text)))
 
 
 def words(text: Column) -> Column:
@@ -64,10 +64,15 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once, however often ``f`` and functions within it refer to it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def pack(sents: Column, target: int, overlap: int) -> Column:
     """Sentences packed greedily into chunks of ``target`` characters, each begun with the shortest run of the last
     sentences that reaches ``overlap``. A fold over the array, inside the JVM."""
-    indexed = F.transform(sents, lambda s, i: F.struct(s.alias("s"), (i == F.size(sents) - 1).alias("last")))
+    indexed = bound(sents, lambda each: F.transform(each, lambda s, i: F.struct(s.alias("s"), (i == F.size(each) - 1).alias("last"))))
     empty = F.struct(F.array().cast("array<string>").alias("cur"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -100,7 +105,7 @@ def longest_section(text: Column, heading: str, boundary: str) -> Column:
     a tie. One split and one fold over its parts, inside the JVM."""
     parts = F.split(text, rf"(?={AT_LINE}(?:{heading}|{boundary}))", -1)
     # A heading over two lines may hold another on its second, which begins the next part.
-    joined = F.zip_with(parts, F.slice(parts, 2, F.size(parts)), lambda p, after: F.struct(F.length(p).cast("bigint").alias("n"), F.concat(p, F.coalesce(after, F.lit(""))).alias("t")))
+    joined = bound(parts, lambda each: F.zip_with(each, F.slice(each, 2, F.size(each)), lambda p, after: F.struct(F.length(p).cast("bigint").alias("n"), F.concat(p, F.coalesce(after, F.lit(""))).alias("t"))))
     marks = F.transform(joined, lambda p: F.struct(p["n"].alias("n"), p["t"].rlike(rf"\A(?:{heading})").alias("h"), p["t"].rlike(rf"\A(?:{boundary})").alias("b")))
     none, zero = F.lit(-1).cast("bigint"), F.lit(0).cast("bigint")
     empty = F.struct(zero.alias("at"), none.alias("open"), none.alias("start"), none.alias("span"))

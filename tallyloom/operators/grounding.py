@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.figures import NUMBER
+from tallyloom.functions.text import bound
 
 LONGEST_QUOTE, SHORTEST_QUOTE = 300, 5
 # Relative changes under which a series counts as flat, over which a claim that it is flat is wrong, and
@@ -92,9 +93,8 @@ def numbers_told(text: Column) -> Column:
         after = F.when(labelled(i + 1), F.concat(at(parts, i + 1), at(tokens, i + 1), at(parts, i + 2))).otherwise(at(parts, i + 1))
         return F.struct(t.alias("token"), (touching.rlike(rf"(?:^|[^\d]){MINUS}\$? ?$") | wrapped).alias("negative"), before.alias("before"), after.alias("after"))
 
-    # The text is cut once: its parts are bound as one element of an array.
-    bound = F.array(F.struct(F.split(text, NUMBER, -1).alias("p"), F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1)).alias("t")))
-    return F.get(F.transform(bound, lambda s: F.transform(s["t"], lambda t, i: one(s["p"], s["t"], t, i))), F.lit(0))
+    cut = F.struct(F.split(text, NUMBER, -1).alias("p"), F.regexp_extract_all(text, F.lit(f"({NUMBER})"), F.lit(1)).alias("t"))
+    return bound(cut, lambda s: F.transform(s["t"], lambda t, i: one(s["p"], s["t"], t, i)))
 
 
 def clauses(text: Column) -> Column:
@@ -104,8 +104,12 @@ def clauses(text: Column) -> Column:
 
 def claimed_direction(clause: Column) -> Column:
     """``up``, ``down`` or ``flat`` where a clause claims just one; NULL where it claims none or more, denies or hedges."""
-    votes = F.filter(F.array(*[F.when(clause.rlike(_any(p)), F.lit(name)) for name, p in (("up", UP), ("down", DOWN), ("flat", LEVEL))]), lambda x: x.isNotNull())
-    return F.when(~clause.rlike(_any(NEGATION)) & ~clause.rlike(_any(HEDGE)) & (F.size(votes) == 1), F.get(votes, F.lit(0)))
+
+    def told(low: Column) -> Column:
+        votes = F.filter(F.array(*[F.when(low.rlike(p), F.lit(name)) for name, p in (("up", UP), ("down", DOWN), ("flat", LEVEL))]), lambda x: x.isNotNull())
+        return bound(votes, lambda v: F.when((F.size(v) == 1) & ~low.rlike(NEGATION) & ~low.rlike(HEDGE), F.get(v, F.lit(0))))
+
+    return bound(F.lower(clause), told)
 
 
 def series_direction(series: DataFrame, keys: list[str], year: str, value: str) -> DataFrame:
