@@ -25,7 +25,8 @@ def terminal_states(events: DataFrame) -> DataFrame:
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:
-    """Events per window and type; rows later than the watermark are dropped from a stream."""
+    """Events per window and type. In append and update mode rows later than the watermark are dropped and closed windows leave
+    the state; a complete result keeps all windows and drops nothing."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
@@ -41,8 +42,10 @@ def replay(stream: DataFrame, mode: str = "complete") -> DataFrame:
     at = scratch_path(spark, "stream")
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{at}/out")
+        # A batch that is tried again writes the same folder again.
+        batch.write.mode("overwrite").parquet(f"{at}/out" if mode == "complete" else f"{at}/out/batch={n}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{at}/out")
+    found = spark.read.parquet(f"{at}/out")
+    return found if mode == "complete" else found.drop("batch")
