@@ -231,8 +231,8 @@ SQL = {
     "q26_clean_markup": f"SELECT doc_id, CASE WHEN text IS NOT NULL THEN md5(coalesce(array_to_string(list_filter(list_transform(string_split({_UNESCAPE}, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> ''), chr(10)), '')) END AS digest FROM documents",
     "q27_section_extract": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos, length(text) AS whole FROM documents WHERE text IS NOT NULL),
 a AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - length(line) - 1 AS at_ FROM l),
-b AS (SELECT *, coalesce(min(CASE WHEN regexp_matches(line, '^{BOUNDARY}\z') THEN at_ END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), whole) AS stop FROM a),
-c AS (SELECT * FROM b WHERE regexp_matches(line, '^{HEADING}\z') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY stop - at_ DESC, at_) = 1)
+b AS (SELECT *, coalesce(min(CASE WHEN regexp_matches(line, '^{BOUNDARY}\\z') THEN at_ END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), whole) AS stop FROM a),
+c AS (SELECT * FROM b WHERE regexp_matches(line, '^{HEADING}\\z') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY stop - at_ DESC, at_) = 1)
 SELECT doc_id, at_::BIGINT AS start, (stop - at_)::BIGINT AS span, md5(trim(regexp_replace(substring(text, (at_ + 1)::BIGINT, (stop - at_)::BIGINT), '\\s+', ' ', 'g'))) AS digest FROM c JOIN documents USING (doc_id)""",
     "q28_sentences": f"SELECT doc_id, len({_SENTS})::BIGINT AS n, md5(array_to_string({_SENTS}, '|')) AS digest FROM documents WHERE text IS NOT NULL",
     "q30_word_stats": f"""WITH w AS (SELECT doc_id, coalesce(lower(lang), '-') AS lang, {_WORDS} AS w FROM documents),
