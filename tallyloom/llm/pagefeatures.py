@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from itertools import chain, pairwise
 
 import numpy as np
 
@@ -18,6 +19,8 @@ FUNCTION_WORDS = frozenset(
 # Words that sellers of traffic put around their keywords.
 PROMOTION = frozenset("free cheap best top online discount official fast instant near-me compare review new deals offers tags labels tag label keywords".split())
 LINK = re.compile(r"<a\s[^>]*>.*?</a>|\[[^\]]*\]\([^)]*\)|https?://\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}/\S*", re.IGNORECASE)
+#: A window without any of these is not searched for links.
+LINK_HINTS = ("://", "www.", "<a", "](", ".com")
 PARTICLE, HAN = re.compile(r"[はがをにのでともや]"), re.compile(r"[぀-ヿ㐀-鿿]")
 #: Marks between words become blanks, save ``#`` and ``-``, which are parts of tags and names.
 APART = str.maketrans({c: " " for c in "|@»«★•/–—,;:!?()[]{}<>\"'“”„’‘`*=+~_。、，！？（）「」"} | {"\u00a0": " "})
@@ -29,6 +32,17 @@ NAMES = [f"mean_{m}" for m in MEASURES] + [f"median_{m}" for m in MEASURES] + ["
 VOTES = ("links", "hashtags", "ruling_phrase", "promotion", "sentences", "figures", "varied")
 WINDOW, WIDE = 16, 60
 ENDS, MARKS = (". ", "! ", "? ", "。"), "|@»★•/–#"
+#: Places of the counts that are summed as one number; no window has as many words.
+ONCE, FIGURE = 1 << 28, 1 << 56
+
+
+def _apart(text: str) -> str:
+    """``text`` with a blank for each mark of ``APART``; ``translate`` is quick on ASCII alone."""
+    if text.isascii():
+        return text.translate(APART)
+    for c in APART:
+        text = text.replace(chr(c), " ")
+    return text
 
 
 def _windows(text: str) -> list[str]:
@@ -59,44 +73,60 @@ def page(text: str | None) -> tuple[list[float], list[int]]:
     windows = _windows(text or "")
     if not windows:
         return [], []
-    sizes = np.array([len(w) for w in windows], dtype=float)
-    total = float(sizes.sum())
-    links = [sum(map(len, LINK.findall(w))) if "://" in w or "www." in w or "<a" in w or "](" in w or ".com" in w else 0 for w in windows]
-    low = [(LINK.sub(" ", w) if n else w).lower().translate(APART).split() for w, n in zip(windows, links, strict=True)]
-    words, pairs = Counter(), Counter()
-    for lo in low:
-        words.update(lo)
-        pairs.update(zip(lo, lo[1:]))
+    joined, none = "\n".join(windows), [0] * len(windows)
+    ascii_page, links, bare = joined.isascii(), none, joined
+    if any(map(joined.__contains__, LINK_HINTS)):
+        links = [sum(map(len, LINK.findall(w))) if any(map(w.__contains__, LINK_HINTS)) else 0 for w in windows]
+        bare = "\n".join([LINK.sub(" ", w) if n else w for w, n in zip(windows, links, strict=True)])
+    low = [x.split() for x in _apart(bare.lower()).split("\n")]
+    words, pairs = Counter(chain.from_iterable(low)), Counter(chain.from_iterable(map(pairwise, low)))
     n_words, n_pairs = max(1, words.total()), max(1, pairs.total())
-    single, back = {w for w, c in words.items() if c == 1}, {p for p, c in pairs.items() if c > 2}
-    digits, tags = {w for w in words if w[0].isdigit() and not any(map(str.isalpha, w))}, {w for w in words if w[0] == "#"}
-    rows, n_ends = [], 0
-    for window, linked, lo in zip(windows, links, low, strict=True):
-        n, size = max(1, len(lo)), len(window)
-        glue = sum(map(FUNCTION_WORDS.__contains__, lo)) / n
-        if glue == 0 and not window.isascii() and (han := len(HAN.findall(window))) * 4 > size:
-            glue = min(1.0, 2 * len(PARTICLE.findall(window)) / han)
-        ends = sum(map(window.count, ENDS)) + (window[-1] in ".!?")
-        n_ends += ends
-        rows.append(
-            (
-                glue,
-                min(1.0, linked / size),
-                min(1.0, sum(len(w) for w in lo if w in tags) / size) if tags else 0.0,
-                sum(map(back.__contains__, zip(lo, lo[1:]))) / max(1, n - 1) if back else 0.0,
-                sum(map(single.__contains__, lo)) / n,
-                sum(map(digits.__contains__, lo)) / n,
-                min(2.0, sum(map(window.count, MARKS)) / n),
-                min(2.0, window.count(",") / n),
-                min(30.0, size / n),
-                min(1.0, ends / n),
-            )
-        )
-    values = np.array(rows)
+    back, tags = {p for p, c in pairs.items() if c > 2}, {w for w in words if w[0] == "#"} if "#" in joined else set()
+    digits = {w for w in words if w[0].isdigit() and not any(map(str.isalpha, w))}
+    # What is counted of a word, in one number: a function word, one that occurs once, a figure.
+    kinds = {w: (w in FUNCTION_WORDS) + (c == 1) * ONCE for w, c in words.items()}
+    for w in digits:
+        kinds[w] += FIGURE
+    kind = kinds.__getitem__
+    counted = [sum(map(kind, lo)) for lo in low]
+    known_ends, known_marks = [e for e in ENDS if e in joined], [m for m in MARKS if m in joined]
+    ends = [sum(map(w.count, known_ends)) + (w[-1] in ".!?") for w in windows]
+    n_ends = sum(ends)
+    counts = np.array(
+        [
+            [len(w) for w in windows],
+            [len(lo) for lo in low],
+            [c % ONCE for c in counted],
+            links,
+            [sum(len(w) for w in lo if w in tags) for lo in low] if tags else none,
+            [sum(map(back.__contains__, pairwise(lo))) for lo in low] if back else none,
+            [c // ONCE % ONCE for c in counted],
+            [c // FIGURE for c in counted],
+            [sum(map(w.count, known_marks)) for w in windows] if known_marks else none,
+            [w.count(",") for w in windows] if "," in joined else none,
+            ends,
+        ],
+        dtype=float,
+    )
+    sizes, n = counts[0], np.maximum(1.0, counts[1])
+    total = float(sizes.sum())
+    values = np.empty((len(windows), len(MEASURES)))
+    values[:, 0] = counts[2] / n
+    values[:, 1:3] = np.minimum(1.0, counts[3:5] / sizes).T
+    values[:, 3] = counts[5] / np.maximum(1.0, n - 1)
+    values[:, 4:6] = (counts[6:8] / n).T
+    values[:, 6:8] = np.minimum(2.0, counts[8:10] / n).T
+    values[:, 8] = np.minimum(30.0, sizes / n)
+    values[:, 9] = np.minimum(1.0, counts[10] / n)
+    if not ascii_page:
+        for i in np.flatnonzero(counts[2] == 0).tolist():
+            if not windows[i].isascii() and (han := len(HAN.findall(windows[i]))) * 4 > len(windows[i]):
+                values[i, 0] = min(1.0, 2 * len(PARTICLE.findall(windows[i])) / han)
     order = np.argsort(values, axis=0, kind="stable")
     at = (np.cumsum(sizes[order], axis=0) >= total / 2).argmax(axis=0)
-    medians = np.take_along_axis(values, np.take_along_axis(order, at[None, :], axis=0), axis=0)[0]
-    raw = "\n".join(windows).encode("utf-8", "replace")
+    each = np.arange(len(MEASURES))
+    medians = values[order[at, each], each]
+    raw = joined.encode("utf-8", "replace")
     f = [*(sizes @ values / total).tolist(), *medians.tolist(), len(words) / n_words, len(zlib.compress(raw, 1)) / len(raw), min(1.0, total / 10_000)]
     glued = f[MEASURES.index("glue")]
     votes = [
